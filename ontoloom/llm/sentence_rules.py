@@ -1,0 +1,131 @@
+"""Segmentation rules: ordered break and no-break pairs of regular expressions, in cascading tables.
+
+A rule decides a position if ``before`` matches text that ends there and ``after`` matches text that starts there. The rules
+of the tables in use are tried in order, the first match decides. ``before`` always ends at the last mark with its
+closing quotes; ``after`` starts right behind, with the blanks.
+
+Below, lists of abbreviations, months and the like are fixed values of the languages; the rest is logic.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+
+class Rule(NamedTuple):
+    breaks: bool
+    before: str
+    after: str = ""
+
+
+def _no(before: str, after: str = "") -> Rule:
+    return Rule(False, before, after)
+
+
+def _yes(before: str, after: str = "") -> Rule:
+    return Rule(True, before, after)
+
+
+#: The last words of all abbreviations in the tables: behind any other word of small letters, blank and capital there is a break.
+LAST_WORDS: set[str] = {"etc", "usw", "др"}
+
+
+def _abbr(words: str, after: str = "") -> Rule:
+    """No break after any of these words and their full stop."""
+    for w in words.split("|"):
+        end = w.rpartition(".")[2].rpartition("-")[2].removeprefix("\\s?")
+        LAST_WORDS.update({end.replace("?", ""), end[:-2] if end.endswith("?") else end})
+    return _no(rf"(?<!\w)(?i:{words})\.", after)
+
+
+#: Fixed values. Commands of computing centres that start a sentence in small letters.
+COMMANDS = "acctdump|jstat|modswap|nodectl|qhold|qpush|resview"
+#: Fixed values. Endings of file names.
+FILE_ENDINGS = "conf|cfg|ini|log|sh|py|txt|out|err|yaml|yml|json|xml|csv|tar|gz|md|html|pdf"
+#: Fixed values. Months of German dates, which follow an ordinal number.
+MONTHS_DE = "Januar|Jänner|Februar|März|Maerz|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
+#: Fixed values. Words that a sentence goes on with after "etc." but hardly starts with in small letters.
+GOING_ON = "before|after|and|or|are|is|was|were|in|on|for|to|of|that|which|when|until|while|und|oder|sind|ist|et|ou|sont|est|y|o|son|es|e|são|é|и|или"
+
+START = r"\s*[\"'“”„«»‹›「『（(\[¿¡]*\s*"
+
+FIRST = [
+    # list numbers belong to their unit
+    _no(r"(?:\A|\n)[ \t\u00a0]*[(]?\d{1,3}[.)]", r"[ \t\u00a0]"),
+    # numbers, versions, file names: a full stop without a blank behind it
+    _no(r"\d\.", r"\d"),
+    _no(rf"\w\.", rf"(?i:(?:{FILE_ENDINGS})(?!\w))"),
+    # an ellipsis goes on, unless a capital follows small letters
+    _yes(r"[a-zß-ÿа-я]\s?(?:\.{2,}|…+)", r"\s+[A-ZÀ-ÞА-Я]"),
+    _no(r"(?:\.{2,}|…+)", r"\s*\w"),
+]
+
+EN = [
+    _yes(r"(?i:ends\s+at\s+\d{1,2}\s+[ap]\.m\.)", r"\s"),
+    _no(r"(?i:\d{1,2}\s+[ap]\.m\.)", r"\s+(?:[a-z]|Central|CENTRAL|Eastern|Pacific|Mountain|UTC|GMT)"),
+    _no(r"\bAt\s+\d{1,2}\s+[ap]\.m\.", r"\s"),
+    _no(r"\bAT\s+\d{1,2}\s+[AP]\.M\.", r"\s"),
+    _abbr(r"e\.g|i\.e|vs|cf|approx|ca|viz|ver|rel|rev|dept|est|incl|Mr|Mrs|Ms|Dr|Prof|St"),
+    _abbr(r"figs?|secs?|sect|chap|ch|eq|tab|vol|no|pp?|par", r"\s+\d"),
+    _abbr(r"app|annex|part", r"\s+(?:\d|[A-Z]\b)"),
+]
+DE = [
+    _no(r"\b\d{1,2}\.", rf"\s+(?:{MONTHS_DE}|(?i:{MONTHS_DE}))\b"),
+    _abbr(r"bzw|vgl|z\.\s?b|d\.\s?h|u\.\s?a|evtl|ggf|inkl|abb|abschn|kap|nr|vers|str|tel|zzgl|bspw|sog|ca"),
+    _no(r"(?<!\w)(?i:[zdu])\.", r"\s*(?i:[bha])\."),
+]
+FR = [
+    _abbr(r"p\.\s?ex|c\.-[àa]-d|env|av|éd|n°|cf|m|mm|mme|art"),
+    _abbr(r"fig|sect|chap|vers?|vol|p|al", r"\s+\d"),
+    _no(r"(?<!\w)(?i:p)\.", r"\s*(?i:ex)\."),
+]
+ES = [
+    _abbr(r"p\.\s?ej|aprox|núm|num|apdo|pág|pag|sr|sra|dr|ud|uds|ee\.\s?uu"),
+    _abbr(r"fig|vers?|cap|art|n", r"\s+\d"),
+    _no(r"(?<!\w)(?i:p)\.", r"\s*(?i:ej)\."),
+]
+PT = [_abbr(r"secç|secc|núm|págs?|aprox|sr|sra|dr|dra"), _abbr(r"fig|vers?|cap|art", r"\s+\d")]
+RU = [
+    _abbr(r"рис|разд|гл|стр|см|верс|вер|ок|т\.\s?е|напр|ср|им|ул|табл|п"),
+    _no(r"(?<!\w)(?i:т)\.", r"\s*(?i:[едкпч])\."),
+    _abbr(r"г|в", r"\s+[а-я]"),
+]
+HI = [_abbr("क्र|डॉ|श्री|पृ|सं")]
+#: Word-like abbreviations that also close sentences: no break only where a small letter shows that the sentence goes on.
+CLOSING = [
+    _yes(r"(?<!\w)(?i:etc|usw|т\.\s?д|т\.\s?п|др)\.", rf"\s+(?:{COMMANDS})\b"),
+    _no(r"(?<!\w)(?i:etc|usw|т\.\s?д|т\.\s?п|др)\.", rf"\s+(?i:{GOING_ON})\b"),
+    _no(r"(?<!\w)(?i:etc|usw)\.", r"\s*[,;:)]"),
+]
+QUOTES = [
+    # a quotation that ends with a mark: the sentence goes on with a small letter, a comma, or a letter without case
+    _yes(r"[.!?…]\s?[\"”“»]", rf"\s+(?:{COMMANDS})\b"),
+    _no(r"[.!?…。！？।॥]\s?[\"”“»’」』]", r"\s*[,;:，；、：–—a-zß-ÿа-яё]"),
+    _no(r"[.!?…।॥]\s?[\"”“»’]", r"\s*[ऀ-ॿ]"),
+    _no(r"[.!?…。！？]\s?[\"”“»’」』]", r"[぀-ヿ㐀-鿿]"),
+    # in capitals: only a quotation that closes the clause ends the unit
+    _yes(r"\bPRINTS\s+\"[^\"]*\"", r"\s"),
+    _no(r"[A-ZÀ-ÞА-Я][.!?…]\s?[\"”“»]", r"\s+[A-ZÀ-ÞА-Я]{2,}(?![a-zß-ÿа-я])"),
+]
+LAST = [
+    _yes(r"[。！？｡।॥][\"”“»’」』）)\]\s]*", ""),
+    _yes(r"[!?]+[\"”“»’)\]\s]*", r"\s|\w|[¿¡(\"“„«「『]"),
+    # single letters with a full stop are initials or parts of abbreviations, unless a version or appendix letter
+    _no(r"(?<!\w)[a-zа-я]\.", r"\s*\w"),
+    _no(r"(?<!\w)[A-ZА-Я]\.", r"[A-ZА-Я]\."),
+    _yes(r"\.[\"”“»’)\]]*", r"\s"),
+    # the blank is missing
+    _yes(r"[^\W\d_]{2}\.[\"”“»’)\]]*", r"[¿¡(\"“„«]*[A-ZÀ-ÞА-Я][a-zß-ÿа-яё\s’']"),
+    _yes(r"[\d%)\"”»]\.?[\"”“»’)\]]*", r"[¿¡(\"“„«]*[A-ZÀ-ÞА-Я][a-zß-ÿа-яё]"),
+    _yes(r"[A-ZÀ-ÞА-Я]{2}\.[\"”“»’)\]]*", r"[¿¡(\"“„«]*[A-ZÀ-ÞА-Я]{2}"),
+    _yes(r"\.[\"”“»’)\]]*", r"[¿¡「『぀-ヿ㐀-鿿ऀ-ॿ]"),
+    _yes(r"[^\W\d_]{2}\.[\"”“»’)\]]*", rf"(?:{COMMANDS})\b|[(\"“„«]\w|\d{{1,3}}\.\s"),
+]
+
+#: The cascade: which tables are tried for a language, in order; "*" is the cascade for texts of unknown or mixed languages.
+TABLES: dict[str, list[Rule]] = {"first": FIRST, "en": EN, "de": DE, "fr": FR, "es": ES, "pt": PT, "ru": RU, "hi": HI, "closing": CLOSING, "quotes": QUOTES, "last": LAST}
+CASCADES: dict[str, tuple[str, ...]] = {
+    "*": ("first", "quotes", "closing", "en", "de", "fr", "es", "pt", "ru", "hi", "last"),
+    **{k: ("first", "quotes", "closing", k, "last") for k in ("en", "de", "fr", "es", "pt", "ru", "hi")},
+    **{k: ("first", "quotes", "closing", "last") for k in ("zh", "ja")},
+}
