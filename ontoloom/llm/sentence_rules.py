@@ -46,8 +46,9 @@ FILE_ENDINGS = "conf|cfg|ini|log|sh|py|txt|out|err|yaml|yml|json|xml|csv|tar|gz|
 MONTHS_DE = "Januar|Jänner|Februar|März|Maerz|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 #: Fixed values. Words that a sentence goes on with after "etc." but hardly starts with in small letters.
 GOING_ON = "before|after|and|or|are|is|was|were|in|on|for|to|of|that|which|when|until|while|und|oder|sind|ist|et|ou|sont|est|y|o|son|es|e|são|é|и|или"
+#: Those of them that don't look like articles in capitals.
+GOING_ON_CAPITAL = "before|after|and|are|was|were|for|that|which|when|until|while|und|oder|sind|sont|est|или"
 
-START = r"\s*[\"'“”„«»‹›「『（(\[¿¡]*\s*"
 
 FIRST = [
     # list numbers belong to their unit
@@ -94,8 +95,10 @@ HI = [_abbr("क्र|डॉ|श्री|पृ|सं")]
 #: Word-like abbreviations that also close sentences: no break only where a small letter shows that the sentence goes on.
 CLOSING = [
     _yes(r"(?<!\w)(?i:etc|usw|т\.\s?д|т\.\s?п|др)\.", rf"\s+(?:{COMMANDS})\b"),
-    _no(r"(?<!\w)(?i:etc|usw|т\.\s?д|т\.\s?п|др)\.", rf"\s+(?i:{GOING_ON})\b"),
+    _no(r"(?<!\w)(?:etc|usw|т\.\s?д|т\.\s?п|др)\.", rf"\s+(?:{GOING_ON})\b"),
+    _no(r"(?<!\w)(?:ETC|USW|Т\.\s?Д)\.", rf"\s+(?i:{GOING_ON_CAPITAL})\b"),
     _no(r"(?<!\w)(?i:etc|usw)\.", r"\s*[,;:)]"),
+    _yes(r"(?<!\w)(?i:etc|usw|т\.\s?д|т\.\s?п|др)\.", r"\s"),
 ]
 QUOTES = [
     # a quotation that ends with a mark: the sentence goes on with a small letter, a comma, or a letter without case
