@@ -72,7 +72,7 @@ def term_frequencies(occurrences: DataFrame, candidates: DataFrame, min_docs: in
     ``Vocabulary`` and ``postings`` for nulls and repeated rows.
     """
     v = Vocabulary(candidates)
-    words = bitmaps(postings(occurrences, v, broadcast_rows))
+    words = materialise(bitmaps(postings(occurrences, v, broadcast_rows)), "bitmaps")
     total = F.coalesce(n_records(words).scalar(), F.lit(0))
     freq = words.groupBy("lemma_id").agg(F.sum("n").alias("freq_total"), F.sum(F.bit_count("bits")).alias("freq_docs"))
     joined = v.lemmas.join(freq, "lemma_id", "left")
@@ -138,7 +138,7 @@ def distinctiveness(occurrences: DataFrame, candidates: DataFrame, top: int | No
     ranks up to it are given (their rows are picked before the shuffle). Lemmas, nulls and repeated rows as in ``postings``.
     """
     v = Vocabulary(candidates)
-    posts = postings(occurrences, v, broadcast_rows)
+    posts = materialise(postings(occurrences, v, broadcast_rows), "postings")
     total = F.coalesce(n_records(bitmaps(posts)).scalar(), F.lit(0))
     histogram = posts.groupBy("lemma_id", "n").agg(F.count("*").alias("w"))
     # A lemma's list has an entry for each different count, of which there can be at most sqrt(2 * occurrences).
