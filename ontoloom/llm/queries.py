@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions.text import label_key_sql
-from ontoloom.llm import format_duplicates, frequencies, sentences
+from ontoloom.llm import format_duplicates, frequencies, languages, mixing, neighbours, packing, sentences
 from ontoloom.sources.tables import table
 
 
@@ -61,7 +61,59 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.segment(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_scores, p2_elite, p4_found, p4_unique, p6_found, p6_sentences)}
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "term_vectors"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(_nearest(spark, d)).select(F.col("a").alias("term_id"), F.col("b").alias("neighbor_term_id"))
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).select(F.col("id").alias("term_id"), F.col("neighbour").alias("neighbor_term_id"), "similarity", "rank")
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, d, "documents")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.language_stretches(docs, languages.fit(docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d).select("doc_id", "start_char", "lang")
+
+
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d)
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.document_languages(_stretches(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_frequencies, p2_found, p2_scores, p2_elite, p4_found, p4_unique, p5_found, p5_neighbours, p6_found, p6_sentences,
+        p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_stretches, p10_documents,
+    )
+}
 
 _OCCURRENCES = f"""
 with c as (select distinct term_id, {label_key_sql("term_lemma")} lemma from term_candidates),
@@ -84,6 +136,13 @@ def _same_words(name: str, text: str) -> str:
 
 _WORDS = f"with t as ({_same_words('term_candidates', 'term_text')} union all {_same_words('llm_terms_final', 'term')}), g as (select tbl, w, min(term_id) keep_id, count(distinct term_id) n_copies from t group by 1, 2) "
 
+_NEAREST = """
+with v as (select term_id id, min(vec)::double[100] vec from term_vectors
+  where term_id is not null and len(vec) = 100 and len(list_filter(vec, lambda x: x is null or isnan(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0 group by 1),
+p as (select x.id a, y.id b, round(array_cosine_similarity(x.vec, y.vec), 6) s from v x join v y on x.id <> y.id),
+r as (select a, b, s, row_number() over (partition by a order by s desc, b) rk from p where s >= 0.8)
+"""
+
 ORACLE = {
     "p1_found": _OCCURRENCES + "select term_lemma from q where too_rare or too_common",
     "p1_frequencies": _OCCURRENCES + "select * from q",
@@ -91,4 +150,6 @@ ORACLE = {
     "p2_scores": _OCCURRENCES + "select doc_id, term_lemma, n, freq_docs, round(idf, 6) idf, round(n * idf, 6) score from r",
     "p4_found": _WORDS + "select tbl, keep_id, term_id copy_id from t join g using (tbl, w) where term_id <> keep_id",
     "p4_unique": _WORDS + "select tbl, keep_id, n_copies from g",
+    "p5_found": _NEAREST + "select distinct least(a, b) term_id, greatest(a, b) neighbor_term_id from r where rk <= 10",
+    "p5_neighbours": _NEAREST + "select a term_id, b neighbor_term_id, round(s, 6) similarity, rk as rank from r where rk <= 10",
 }
