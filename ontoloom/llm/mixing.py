@@ -3,15 +3,16 @@
 The rates at which documents are used are as near as possible (in relative entropy) to using each once, under the constraints that
 each source gives its share of the tokens and keeps its mean document length. The dual has two numbers per source; Newton's method solves
 it, each iteration being one aggregation of exponentially tilted moments over all documents (counted by source and length
-before). Rates are rounded into copies by systematic sampling in order of length, within bounded groups of documents of a source.
+before). Rates are rounded into copies within bounded groups of documents of a source, the error going on to the next shorter
+document.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ontoloom.functions.text import squeeze
 from ontoloom.llm.tokens import VOCABULARY, token_counts
@@ -53,6 +54,19 @@ def solve(moments, counts: np.ndarray, sums: np.ndarray, want_n: np.ndarray, wan
     return dual
 
 
+def _draw(g: pd.DataFrame) -> pd.DataFrame:
+    """Round rates up or down, longest documents first, so that the tokens used so far stay as near as possible to what the rates ask for."""
+    g = g.sort_values(["tokens", "id"], ascending=[False, True], kind="stable")
+    rate, tokens = g["rate"].to_numpy(), g["tokens"].to_numpy()
+    copies, owed = np.floor(rate + 1e-9).astype(np.int64), 0.0
+    for i, (r, t, c) in enumerate(zip(rate, tokens, copies, strict=True)):
+        owed += (r - c) * t
+        if r - c > 1e-9 and owed * 2 >= t:
+            copies[i] += 1
+            owed -= t
+    return g.assign(copies=copies)[["id", "source", "tokens", "rate", "copies"]]
+
+
 def mix(
     docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source", group: int = 2000, vocabulary: str = VOCABULARY,
     counts: DataFrame | None = None,
@@ -101,12 +115,8 @@ def mix(
     rate = F.least(F.col("most").cast("double"), F.round(F.exp(F.col("u") + F.col("v") * F.col("tokens") / F.col("scale")), 9))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / group))
     rated = table.join(F.broadcast(rates), "source").select("id", "source", "tokens", rate.alias("rate"), part.alias("part"))
-    w = W.partitionBy("source", "part").orderBy("tokens", "id")
-    phase = F.pmod(F.xxhash64("source", "part"), F.lit(10_000)) / 10_000
-    upto = F.round(F.sum("rate").over(w.rowsBetween(W.unboundedPreceding, 0)) + phase, 6)
-    drawn = rated.withColumn("upto", F.floor(upto)).withColumn("copies", (F.col("upto") - F.lag("upto", 1).over(w)).cast("int"))
-    drawn = drawn.withColumn("copies", F.coalesce("copies", F.col("upto").cast("int")))
-    return drawn.where("copies > 0").select("id", "source", "tokens", "rate", "copies")
+    drawn = rated.groupBy("source", "part").applyInPandas(_draw, "id long, source string, tokens long, rate double, copies int")
+    return drawn.where("copies > 0")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

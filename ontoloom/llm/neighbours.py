@@ -149,7 +149,7 @@ def _compare(most: int, at_once: int = 256):
             key = t[["bucket", "block"]].to_numpy(np.int64)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             ends = [*cuts, len(t)] if b is None else list(cuts)
-            ref, sk, out, at = t["ref"].to_numpy(np.int64), t[names].to_numpy(np.int64), [], 0
+            ref, sk, out, at = t["ref"].to_numpy(np.int64), t[names].to_numpy(np.int64).view(np.uint64), [], 0
             for e in ends:
                 pairs(ref[at:e], sk[at:e], out)
                 at = e
