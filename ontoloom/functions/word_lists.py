@@ -100,3 +100,18 @@ PARENT_MAP = {
 def either(words: list[str]) -> str:
     """A group that matches any of the words or patterns."""
     return "(?:" + "|".join(words) + ")"
+
+#: Verbs of the tagger's lexicon, adjectives and adverbs not told by their ending.
+VERBS = (
+    "run runs start starts stop stops use uses set sets get gets show shows print prints read reads write writes open opens close closes hold holds wait waits end ends need needs keep keeps "
+    "update updates replace replaces override overrides extend extends block blocks limit limits drain drains mount mounts record records ignore ignores rewrite rewrites trim trims query queries "
+    "signal signals inherit inherits requeue requeues release releases check checks gain gains list lists cover covers delete edit recover recovers exceed exceeds"
+).split()
+ADJECTIVES = "new old same last next first second big small large long short high low full common further stale nested expired pending current different shared static dynamic local remote".split()
+ADVERBS = "very too also not never always often again then here there still just only later finally".split()
+NOISE = ["http", "www.", "copyright"]
+
+#: Endings of binaries, units after numbers, models of accelerators that are terms.
+ARTIFACT_ENDINGS = "so a o lo la lai dll exe dylib jar class pyc pyo whl".split()
+UNITS = "sec secs seconds min mins minutes hour hours day days gb gib mb mib kb kib ms us".split()
+ACCELERATORS = "A100 H100 V100 L4 P100 K80 T4".split()
