@@ -79,7 +79,7 @@ def mix(
     without a target, or without a source, and null and empty texts are not used; repeated rows of a key are one document.
     ``group`` is the number of documents among which rates are rounded together.
     """
-    spark = docs.sparkSession
+    spark = targets.sparkSession
     if counts is None:
         counts = token_counts(docs, key, text, keep=(source,), vocabulary=vocabulary)
     want = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("most")).where("source is not null and share > 0")

@@ -91,7 +91,7 @@ def buckets_of(v: np.ndarray, h: Hashing, arrays: tuple) -> tuple[np.ndarray, np
 
 
 def _file(h: Hashing, homes_only: bool):
-    """Rows (bucket, id * 2 + own, sketch) of each vector; with ``homes_only`` just the own buckets."""
+    """Rows (bucket, id, own or probed, sketch) of each vector; with ``homes_only`` just the own buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         arrays = h.arrays()
@@ -106,10 +106,9 @@ def _file(h: Hashing, homes_only: bool):
                 sketch = np.packbits(v @ arrays[3] > 0, axis=1).view(np.int64)
                 keys = np.concatenate([own, probed.reshape(len(v), -1)], 1)
                 width = keys.shape[1]
-                mark = np.zeros(width, np.int64)
-                mark[: own.shape[1]] = 1
-                ids = part["id"].to_numpy(np.int64)
-                out = {"bucket": keys.ravel(), "ref": (ids[:, None] * 2 + mark).ravel()}
+                mark = np.zeros(width, bool)
+                mark[: own.shape[1]] = True
+                out = {"bucket": keys.ravel(), "id": np.repeat(part["id"].to_numpy(np.int64), width), "own": np.tile(mark, len(v))}
                 yield pd.DataFrame(out | {f"s{i}": np.repeat(sketch[:, i], width) for i in range(SKETCH // 64)})
 
     return run
@@ -122,13 +121,13 @@ def _compare(most: int, at_once: int = 256):
     """
     names = [f"s{i}" for i in range(SKETCH // 64)]
 
-    def pairs(ref: np.ndarray, sk: np.ndarray, out: list) -> None:
-        filed = np.flatnonzero(ref & 2)
-        if not len(filed) or len(ref) < 2:
+    def pairs(ids: np.ndarray, is_filed: np.ndarray, sk: np.ndarray, out: list) -> None:
+        filed = np.flatnonzero(is_filed)
+        if not len(filed) or len(ids) < 2:
             return
-        x, xi = sk[filed], ref[filed] >> 2
-        for at in range(0, len(ref), at_once):
-            q, qi = sk[at : at + at_once], ref[at : at + at_once] >> 2
+        x, xi = sk[filed], ids[filed]
+        for at in range(0, len(ids), at_once):
+            q, qi = sk[at : at + at_once], ids[at : at + at_once]
             d = np.bitwise_count(q[:, 0, None] ^ x[None, :, 0]).astype(np.uint16)
             for i in range(1, q.shape[1]):
                 d += np.bitwise_count(q[:, i, None] ^ x[None, :, i])
@@ -149,9 +148,9 @@ def _compare(most: int, at_once: int = 256):
             key = t[["bucket", "block"]].to_numpy(np.int64)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             ends = [*cuts, len(t)] if b is None else list(cuts)
-            ref, sk, out, at = t["ref"].to_numpy(np.int64), t[names].to_numpy(np.int64).view(np.uint64), [], 0
+            ids, filed, sk, out, at = t["id"].to_numpy(np.int64), t["filed"].to_numpy(bool), t[names].to_numpy(np.int64).view(np.uint64), [], 0
             for e in ends:
-                pairs(ref[at:e], sk[at:e], out)
+                pairs(ids[at:e], filed[at:e], sk[at:e], out)
                 at = e
             rest = t.iloc[at:] if b is not None else None
             if out:
@@ -182,12 +181,11 @@ def nearest(
     homes = single.mapInPandas(_file(h, True), "bucket long")
     large = materialise(homes.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
     sketch = ", ".join(f"s{i} long" for i in range(SKETCH // 64))
-    rows = single.mapInPandas(_file(h, False), f"bucket long, ref long, {sketch}").join(broadcast_if_small(large, 100_000), "bucket", "left")
-    # Each row looks into every block of its bucket; it is filed in one of them. The second bit of ref says so.
+    rows = single.mapInPandas(_file(h, False), f"bucket long, id long, own boolean, {sketch}").join(broadcast_if_small(large, 100_000), "bucket", "left")
+    # Each row looks into every block of its bucket; one with its own bucket is filed in one of them.
     blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    rows = rows.select("bucket", "ref", *(f"s{i}" for i in range(SKETCH // 64)), F.coalesce("blocks", F.lit(1)).alias("of"), blocks.alias("block"))
-    filed = (F.col("ref").bitwiseAND(F.lit(1)) == 1) & (F.pmod(F.xxhash64("ref"), F.col("of")) == F.col("block"))
-    rows = rows.withColumn("ref", F.shiftright("ref", 1) * 4 + F.when(filed, 2).otherwise(0)).drop("of")
+    rows = rows.select("bucket", "id", "own", *(f"s{i}" for i in range(SKETCH // 64)), F.coalesce("blocks", F.lit(1)).alias("of"), blocks.alias("block"))
+    rows = rows.withColumn("filed", F.col("own") & (F.pmod(F.xxhash64("id"), F.col("of")) == F.col("block"))).drop("own", "of")
     frac = math.acos(min_similarity) / math.pi
     most = math.ceil(SKETCH * frac + 3.5 * math.sqrt(SKETCH * frac * (1 - frac)))
     candidates = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_compare(most), "a long, b long").distinct()
