@@ -11,6 +11,11 @@ BLANK_CLASS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 BLANKS = f"[{BLANK_CLASS}]+"
 
 
+def last(c: Column | str) -> Column:
+    """The last element of an array, null if there is none."""
+    return F.try_element_at(c, F.lit(-1))
+
+
 def squeeze(c: Column) -> Column:
     """Trim blanks and make each run of blanks one space."""
     return F.trim(F.regexp_replace(c, BLANKS, " "))

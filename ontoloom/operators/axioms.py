@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ontoloom.functions.text import squeeze
+from ontoloom.functions.text import last, squeeze
 
 #: Names reserved by the vocabularies (without blanks, underscores and prefix), verbs that begin actions, parents too general or instances.
 RESERVED = (
@@ -148,7 +148,7 @@ def predicate_problem(pred: Column, n: Column, allowed: list[str] | None = None,
     """Why a predicate gets no axiom: name, banned, count, plain_verb; null if it does. Names in ``allowed`` pass all but the first."""
     p = F.lower(F.trim(pred))
     parts = F.split(p, "_")
-    tail = (F.size(parts) >= 2) & F.element_at(parts, -1).isin(PREDICATE_PREPOSITIONS)
+    tail = (F.size(parts) >= 2) & last(parts).isin(PREDICATE_PREPOSITIONS)
     c = F.when(~p.rlike("^[a-z][a-z0-9]*(_[a-z0-9]+)*$"), "name")
     if allowed:
         c = c.when(p.isin(allowed), None)

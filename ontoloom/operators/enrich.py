@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import squeeze
+from ontoloom.functions.text import last, squeeze
 
 CAPITALS = "^[A-Z0-9_]+$"
 
@@ -59,7 +59,7 @@ def canonical_groups(cands: DataFrame, min_tf_idf: float = 0.0) -> DataFrame:
 def generic_score(groups: DataFrame) -> DataFrame:
     """``groups`` with ``generic_score``, ``is_generic`` (2.5 or more) and the sorted ``reasons``."""
     can = F.lower(F.trim("canonical_term"))
-    head = F.element_at(F.split(can, " "), -1)
+    head = last(F.split(can, " "))
     anchor = lambda x: F.lower(x).rlike("|".join(wl.ANCHORS)) | is_technical(x)
     anchored = F.exists("original_terms", anchor) | anchor(F.col("canonical_term"))
     signals = [
@@ -115,7 +115,7 @@ def definition_head(definition: Column, limit: int = 200, bad: list[str] | None
     head = F.regexp_extract(F.lower(squeeze(definition)), rf"^(?:a|an|the) ([^.]{{1,{limit}}})", 1)
     head = F.regexp_replace(head, rf"(^|[^a-z0-9_]){wl.either(wl.CLAUSE_WORDS)}($|[^a-z0-9_]).*$", "")
     words = F.filter(F.split(squeeze(F.regexp_replace(head, r"[^a-z0-9_ -]", " ")), " "), lambda x: (x != "") & ~x.isin([*wl.DETERMINERS[:8], *wl.SCHEDULERS]))
-    words = F.when(F.element_at(words, -1).isin(wl.TAIL_PREPOSITIONS), F.slice(words, 1, F.size(words) - 1)).otherwise(words)
+    words = F.when(last(words).isin(wl.TAIL_PREPOSITIONS), F.slice(words, 1, F.size(words) - 1)).otherwise(words)
     phrase = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 2), F.lit(3)), " ")
     mapped = F.create_map(*(F.lit(x) for kv in wl.PARENT_MAP.items() for x in kv))
     phrase = F.when((F.size(words) > 0) & (phrase != "") & ~phrase.isin(bad), phrase)

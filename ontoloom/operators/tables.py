@@ -26,9 +26,9 @@ def resume(df: DataFrame, done: DataFrame, keys: list[str], order: str, after: o
 def _one(df: DataFrame, keys: list[str], order: list[Column], largest: bool) -> DataFrame:
     # An aggregate instead of a window: rows are reduced before the shuffle, so that a hot key doesn't gather in a task.
     rest = [c for c in df.columns if c not in keys]
-    pick = F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), *rest)
-    best = df.groupBy(*keys).agg((F.max if largest else F.min)(pick).alias("x"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in df.columns])
+    pick = F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)] or [F.lit(0)]).alias("r"))
+    best = df.groupBy(*keys).agg((F.max if largest else F.min)(pick).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.r.r{rest.index(c)}").alias(c) for c in df.columns])
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import squeeze
+from ontoloom.functions.text import last, squeeze
 
 #: A token: command line flag, word with inner joints, or a single sign.
 TOKEN = r"--?[A-Za-z][A-Za-z0-9_-]*(?:[=:][^\s]+)?|[\p{L}\p{N}_]+(?:[.'’|/-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
@@ -48,8 +48,8 @@ def noun_runs(toks: DataFrame) -> DataFrame:
     t = toks.where(inside | F.col("token").rlike(FLAG)).withColumn("flag", ~inside)
     t = t.withColumn("island", F.col("pos") - F.row_number().over(W.partitionBy("doc_id", "sent_idx", "flag").orderBy("pos")))
     g = t.groupBy("doc_id", "sent_idx", "flag", F.when(F.col("flag"), F.col("pos")).otherwise(F.col("island")).alias("island")).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "lemma", "tag"))).alias("x"))
-    g = g.where(F.col("flag") | F.element_at("x.tag", -1).isin("NOUN", "PROPN"))
-    return g.select("doc_id", "sent_idx", F.get("x.pos", F.lit(0)).alias("token_start"), F.element_at("x.pos", -1).alias("token_end"), F.array_join("x.token", " ").alias("text"), F.array_join("x.lemma", " ").alias("lemma"))
+    g = g.where(F.col("flag") | last("x.tag").isin("NOUN", "PROPN"))
+    return g.select("doc_id", "sent_idx", F.get("x.pos", F.lit(0)).alias("token_start"), last("x.pos").alias("token_end"), F.array_join("x.token", " ").alias("text"), F.array_join("x.lemma", " ").alias("lemma"))
 
 
 def split_pipes(runs: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def trim_terms(runs: DataFrame) -> DataFrame:
     t = t.withColumn("keep", keep).withColumn("n", F.size("la"))
     # all stop words: leading ones go first, so that the last word is left
     lo = F.when(F.size("keep") > 0, F.get("keep", F.lit(0))).otherwise(F.greatest(F.lit(0), F.col("n") - 1))
-    hi = F.when(F.size("keep") > 0, F.element_at("keep", -1)).otherwise(F.greatest(F.lit(0), F.col("n") - 1))
+    hi = F.when(F.size("keep") > 0, last("keep")).otherwise(F.greatest(F.lit(0), F.col("n") - 1))
     width = F.greatest(F.lit(0), F.least(F.col("n"), hi - lo + 1))
     t = t.withColumn("ta", F.slice("ta", lo + 1, width)).withColumn("la", F.slice("la", lo + 1, width))
     # The one-row generator keeps filters on the result from being pushed below, where each mention of a column would compute it again.
@@ -90,7 +90,7 @@ def reject_reason(text: Column, lem: Column, n_tokens: Column, max_tokens: int =
     flag = text.rlike(FLAG)
     letters = F.length(F.regexp_replace(compact, r"[^\p{L}]", ""))
     return (
-        F.when(compact.rlike(r"^[|/\\_=+*~-]*$"), "symbols").when(letters == 0, "no_letter").when(letters / F.length(compact) < 0.4, "few_letters").when(text.rlike(r"[<>(){}\[\]]"), "brackets")
+        F.when(compact.rlike(r"^[|/\\_=+*~-]*$"), "symbols").when(letters == 0, "no_letter").when(letters / F.greatest(F.length(compact), F.lit(1)) < 0.4, "few_letters").when(text.rlike(r"[<>(){}\[\]]"), "brackets")
         .when(n_tokens > max_tokens, "tokens").when(F.length(lem) > max_chars, "chars").when(lem.rlike("|".join(w.replace(".", r"\.") for w in wl.NOISE)), "noise")
         .when((n_tokens == 1) & lem.isin(wl.STOP_WORDS), "stop_word").when((n_tokens == 1) & (F.length(lem) < 3) & ~flag, "short").when(lem.rlike(r"^[!-/:-@\[-`{-~ ]*[0-9]+[!-/:-@\[-`{-~ ]*$"), "digits")
         .when(lem.rlike("[0-9]{3}"), "digit_run").when(lem.contains("=") & ~flag, "assignment").when(lem.startswith("-") & ~flag, "dash").when(lem.endswith("?"), "question")
@@ -140,8 +140,8 @@ def score_stats(df: DataFrame, column: str) -> DataFrame:
 def artifact_class(c: Column) -> Column:
     """What kind of implementation artefact a term is: url, path, binary, openapi, method, assignment, symbol; null if none."""
     s = F.trim(c)
-    last = F.lower(F.element_at(F.split(s, r"[/\\]"), -1))
-    binary = last.rlike(rf"\.({'|'.join(wl.ARTIFACT_ENDINGS)})$")
+    tail = F.lower(last(F.split(s, r"[/\\]")))
+    binary = tail.rlike(rf"\.({'|'.join(wl.ARTIFACT_ENDINGS)})$")
     parts = F.size(F.filter(F.split(s, r"[/\\]+"), lambda x: x != ""))
     path = s.rlike(r"^(/|\./|\.\./|~|\\\\|[A-Za-z]:\\)") | (s.rlike(r"[/\\]") & ((parts >= 3) | binary))
     version = r"^[vV][0-9]+(\.[0-9]+){1,4}"

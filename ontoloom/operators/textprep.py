@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import BLANKS, squeeze
+from ontoloom.functions.text import BLANKS, last, squeeze
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -65,7 +65,7 @@ def n_words(key: Column) -> Column:
 
 def is_boilerplate(key: Column, min_words: int = 4) -> Column:
     """For lines that are neither technical nor structural."""
-    letters = F.length(F.regexp_replace(key, r"[^\p{L}]", "")) / F.length(key)
+    letters = F.length(F.regexp_replace(key, r"[^\p{L}]", "")) / F.greatest(F.length(key), F.lit(1))
     short = (n_words(key) < min_words) & ((letters < 0.6) | key.isin(wl.NAVIGATION_LINE))
     return (key == "") | F.lower(key).rlike("|".join(wl.BOILERPLATE)) | short
 
@@ -188,5 +188,5 @@ def chunk(sentences: DataFrame, max_sentences: int = 12, max_tokens: int = 800,
     return c.select(
         F.format_string("%d_chunk_%04d", F.col("doc_id"), F.col("no") + 1).alias("chunk_id"), "doc_id", F.array_join(F.col("x.sentence"), " ").alias("text"),
         F.array_join(F.col("x.sentence_id"), ",").alias("sentence_ids"), F.size("x").alias("num_sentences"), F.get("x.start_char", F.lit(0)).alias("start_char"),
-        F.element_at("x.end_char", -1).alias("end_char"), F.aggregate("x.t", F.lit(0), lambda a, b: a + b).alias("estimated_tokens"),
+        last("x.end_char").alias("end_char"), F.aggregate("x.t", F.lit(0), lambda a, b: a + b).alias("estimated_tokens"),
     )

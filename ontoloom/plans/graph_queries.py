@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import BLANKS
+from ontoloom.functions.text import BLANKS, last
 from ontoloom.operators import axioms as ax
 from ontoloom.operators import graph as g
 from ontoloom.operators import relations as r
@@ -105,11 +105,11 @@ def svo_triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _label_closure(spark: SparkSession, d: str) -> DataFrame:
-    return g.closure(_svo(spark, d).select(F.col("subj").alias("child"), F.element_at(F.split("subj", " "), -1).alias("parent")).distinct(), 4)
+    return g.closure(_svo(spark, d).select(F.col("subj").alias("child"), last(F.split("subj", " ")).alias("parent")).distinct(), 4)
 
 
 def taxonomy_like_filter(spark: SparkSession, d: str) -> DataFrame:
-    tr = _svo(spark, d).select(F.col("subj").alias("s"), F.when(F.length("subj") % 2 == 0, "include").otherwise("hold").alias("rel"), F.when(F.length("obj") % 2 == 0, F.element_at(F.split("subj", " "), -1)).otherwise(F.col("obj")).alias("o")).distinct()
+    tr = _svo(spark, d).select(F.col("subj").alias("s"), F.when(F.length("subj") % 2 == 0, "include").otherwise("hold").alias("rel"), F.when(F.length("obj") % 2 == 0, last(F.split("subj", " "))).otherwise(F.col("obj")).alias("o")).distinct()
     return r.taxonomy_like(tr, _label_closure(spark, d)).withColumn("like", F.coalesce("like", F.lit("none")))
 
 

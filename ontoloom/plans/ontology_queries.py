@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import BLANKS, label_key, label_key_sql
+from ontoloom.functions.text import BLANKS, label_key, label_key_sql, last
 from ontoloom.operators import enrich as e
 from ontoloom.operators import knn as v
 from ontoloom.operators import tables as tb
@@ -113,7 +113,7 @@ def eligible_rate(spark: SparkSession, d: str) -> DataFrame:
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "term_candidates").select("term_id", label_key(F.col("term_lemma")).alias("k")).distinct()
     # most labels of the taxonomy are no candidates; the last word of a lemma stands in for a parent
-    return c.where("k is not null").select("term_id", F.element_at(F.split("k", " "), -1).alias("parent"))
+    return c.where("k is not null").select("term_id", last(F.split("k", " ")).alias("parent"))
 
 
 def sibling_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ def skipgram_train(spark: SparkSession, d: str) -> DataFrame:
 def head_match(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_name").alias("term"))
     kids = p.union(table(spark, d, "term_candidates").select("term_lemma"))
-    heads = kids.where("term is not null").select(F.element_at(x.words(F.col("term")), -1).alias("term")).where("term is not null")
+    heads = kids.where("term is not null").select(last(x.words(F.col("term"))).alias("term")).where("term is not null")
     return x.head_match(kids.where("term is not null"), heads)
 
 
@@ -170,7 +170,7 @@ def edge_union(spark: SparkSession, d: str) -> DataFrame:
 
 def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "documents").where("title is not null").select(F.trim(F.regexp_replace(F.lower("title"), "^[0-9.]+ ", "")).alias("child")).distinct()
-    ed = titles.select("child", F.concat(F.lit("the "), F.element_at(F.split("child", " "), -1)).alias("parent"))
+    ed = titles.select("child", F.concat(F.lit("the "), last(F.split("child", " "))).alias("parent"))
     return x.edge_evidence(ed, table(spark, d, "sentence_segmented"))
 
 

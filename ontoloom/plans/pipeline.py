@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ontoloom.functions.text import last
 from ontoloom.operators import axioms, enrich, hierarchy, rdf, relations, taxonomy, terms, textprep
 
 Catalog = dict[str, DataFrame]
@@ -94,7 +95,7 @@ def hybrid() -> list[Step]:
 
     def is_a(c: Catalog) -> Catalog:
         t = c["enriched"].where("not is_generic").select(F.col("canonical_term").alias("term"))
-        heads = c["enriched"].select(F.element_at(taxonomy.words(F.col("canonical_term")), -1).alias("term")).where("term is not null")
+        heads = c["enriched"].select(last(taxonomy.words(F.col("canonical_term"))).alias("term")).where("term is not null")
         seed = taxonomy.head_match(t, heads).select("child", "parent", F.lit("head_match").alias("method"))
         found = taxonomy.hearst(c["sentences"], c["enriched"].select(F.col("canonical_term").alias("term"))).select("child", "parent", F.lit("hearst").alias("method"))
         return {"taxonomy": seed.unionByName(found).distinct(), "hierarchy": hierarchy.hierarchy(seed.unionByName(found))}
