@@ -31,7 +31,8 @@ def tokens(sentences: DataFrame) -> DataFrame:
     """``doc_id, sent_idx, pos, token, lemma, tag`` of each sentence (each doc_id and sent_idx once)."""
     s = sentences.groupBy("doc_id", "sent_idx").agg(F.min("sentence").alias("sentence"))
     t = s.select("doc_id", "sent_idx", F.posexplode(F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
-    t = t.withColumn("tag", tag(F.col("token"), F.col("pos") == 0))
+    # The one-row generator computes the tag once; a filter on it would else be pushed below and compute it again.
+    t = t.select("doc_id", "sent_idx", "pos", "token", F.inline(F.array(F.struct(tag(F.col("token"), F.col("pos") == 0).alias("tag")))))
     return t.withColumn("lemma", lemma(F.col("token"), F.col("tag")))
 
 
