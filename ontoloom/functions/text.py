@@ -1,9 +1,13 @@
-"""Column expressions on text, built from JVM functions only."""
+"""Column expressions on text; JVM functions only, but for the Unicode normal form, which Spark has no function for."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of any kind, no-break spaces included (fixed values), as the inside of a character class that
 #: Java's regular expressions and RE2 read alike.
@@ -29,3 +33,9 @@ def label_key(c: Column) -> Column:
 def label_key_sql(c: str) -> str:
     """``label_key`` as DuckDB SQL."""
     return f"nullif(trim(regexp_replace(lower({c}), '{BLANKS}', ' ', 'g')), '')"
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    """The text in Unicode normal form NFKC; ASCII texts stay as they are."""
+    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

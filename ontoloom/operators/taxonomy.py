@@ -118,7 +118,7 @@ def top_parents(edges: DataFrame, n: int = 10) -> DataFrame:
 def candidate_lists(edges: DataFrame, n: int = 8) -> DataFrame:
     """``child, parent, candidates``: the parent, then global top parents, ``n`` different labels (case aside), then 'none'."""
     tops = top_parents(edges, n).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_children")).alias("m"), "parent")))["parent"].alias("tops"))
-    e = edges.select("child", "parent").distinct().join(F.broadcast(tops))  # one row of n labels
+    e = edges.select("child", "parent").distinct().withColumn("tops", tops.scalar())
     more = F.filter("tops", lambda x: F.lower(x) != F.lower("parent"))
     return e.select("child", "parent", F.concat(F.slice(F.concat(F.array("parent"), more), 1, n), F.array(F.lit("none"))).alias("candidates"))
 

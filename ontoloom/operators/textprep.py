@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import BLANKS, last, squeeze
+from ontoloom.functions.text import BLANKS, last, nfkc, squeeze
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -17,8 +17,9 @@ def normalize_whitespace(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r" +\n", "\n"), r"[ \n]+$", "")
 
 
-def line_key(c: Column) -> Column:
-    """A line as compared: no byte order mark, blanks squeezed, trimmed."""
+def line_key(c: Column, normal_form: bool = False) -> Column:
+    """A line as compared: no byte order mark, blanks squeezed, trimmed; on demand in Unicode normal form NFKC."""
+    c = nfkc(c) if normal_form else c
     return squeeze(F.replace(c, F.lit("﻿"), F.lit("")))
 
 
@@ -70,18 +71,18 @@ def is_boilerplate(key: Column, min_words: int = 4) -> Column:
     return (key == "") | F.lower(key).rlike("|".join(wl.BOILERPLATE)) | short
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, normal_form: bool = False) -> DataFrame:
     """``doc_id, pos, line, key, n_lines, lead``: the lines of each text from the first with more than five words on."""
     t = docs.where("text is not null").select("doc_id", F.posexplode(F.split(F.ltrim(F.col("text"), F.lit("﻿")), "\n")).alias("pos", "line"))
-    t = t.withColumn("key", line_key(F.col("line")))
+    t = t.withColumn("key", line_key(F.col("line"), normal_form))
     w = W.partitionBy("doc_id")
     t = t.withColumn("n_all", F.count("*").over(w)).withColumn("lead", F.coalesce(F.min(F.when(n_words(F.col("key")) > 5, F.col("pos"))).over(w), F.lit(0)))
     return t.where("pos >= lead").withColumn("n_lines", F.col("n_all") - F.col("lead"))
 
 
-def classify_lines(docs: DataFrame, strict: bool = False, min_words: int = 4) -> DataFrame:
+def classify_lines(docs: DataFrame, strict: bool = False, min_words: int = 4, normal_form: bool = False) -> DataFrame:
     """The lines with ``action``: repeated, print, technical, structural, boilerplate or keep; the first that applies."""
-    t = lines(docs)
+    t = lines(docs, normal_form)
     key = F.col("key")
     count = F.when(key != "", F.count("*").over(W.partitionBy("doc_id", "key"))).otherwise(0)
     limit = F.when(F.col("n_lines") < 50, 2).when(F.col("n_lines") < 200, 3).otherwise(4)
@@ -93,12 +94,12 @@ def classify_lines(docs: DataFrame, strict: bool = False, min_words: int = 4) ->
     return t.withColumn("action", action)
 
 
-def clean_documents(docs: DataFrame, strict: bool = False, min_words: int = 4) -> DataFrame:
+def clean_documents(docs: DataFrame, strict: bool = False, min_words: int = 4, normal_form: bool = False) -> DataFrame:
     """``doc_id, cleaned_text`` and seven counters: the kept lines without trailing footers, at most one empty line in a row.
 
     Structural lines get a colon. If only blank lines are left of a text that has others, its lines stay as they are.
     """
-    t = classify_lines(docs, strict, min_words)
+    t = classify_lines(docs, strict, min_words, normal_form)
     stays = F.col("action").isin("technical", "structural", "keep")
     body = F.lower("key").rlike(f"{wl.FOOTER}|{wl.PRINT_COPYRIGHT}|{wl.PRINT_PAGE}")
     w = W.partitionBy("doc_id")

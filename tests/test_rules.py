@@ -31,6 +31,12 @@ def test_clean_document(spark):
     assert set(got) == {1, 3} and got[3].cleaned_text == ""
 
 
+def test_normal_form(spark):
+    d = spark.createDataFrame([(1, "This is the first proper line of all.\nＨｏｍｅ")], "doc_id long, text string")
+    assert textprep.classify_lines(d, strict=True).where("key = 'Home'").count() == 0
+    assert textprep.classify_lines(d, strict=True, normal_form=True).where("key = 'Home' and action = 'boilerplate'").count() == 1
+
+
 def test_chunks_cover(spark):
     s = [(1, i, f"s{i}", "w " * (3 + i % 5), i, i + 1) for i in range(1, 40)]
     df = spark.createDataFrame(s, "doc_id long, sent_idx int, sentence_id string, sentence string, start_char int, end_char int")
