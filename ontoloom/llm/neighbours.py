@@ -27,6 +27,8 @@ from ontoloom.session import broadcast_if_small, materialise
 #: Perturbation sets over the boundaries of a vector sorted by distance: every set that can be among the best T.
 SETS = [(0,), (1,), (0, 1), (2,), (0, 2), (3,), (1, 2), (0, 3), (4,), (0, 1, 2), (1, 3), (0, 4), (5,), (2, 3), (1, 4), (0, 5), (6,)]
 SKETCH = 256
+#: A pair is a candidate if its sketches differ in no more bits than expected at the least similarity asked for, plus so many standard deviations.
+SLACK = 3.0
 
 
 @dataclass(frozen=True)
@@ -187,7 +189,7 @@ def nearest(
     rows = rows.select("bucket", "id", "own", *(f"s{i}" for i in range(SKETCH // 64)), F.coalesce("blocks", F.lit(1)).alias("of"), blocks.alias("block"))
     rows = rows.withColumn("filed", F.col("own") & (F.pmod(F.xxhash64("id"), F.col("of")) == F.col("block"))).drop("own", "of")
     frac = math.acos(min_similarity) / math.pi
-    most = math.ceil(SKETCH * frac + 3.5 * math.sqrt(SKETCH * frac * (1 - frac)))
+    most = math.ceil(SKETCH * frac + SLACK * math.sqrt(SKETCH * frac * (1 - frac)))
     candidates = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_compare(most), "a long, b long").distinct()
 
     store = single.groupBy("id").agg(F.min("vec").alias("vec"))
