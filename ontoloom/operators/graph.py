@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.session import materialise
 
+#: So many links are walked within one task; more are first reduced by rounds of joins. No result depends on it.
+LINKS_PER_TASK = 500_000
+
 
 def closure(edges: DataFrame, max_hops: int = 64) -> DataFrame:
     """``node, ancestor, hops``: every ancestor with its least distance; a node on a cycle is its own ancestor. ``edges``: child, parent."""
@@ -46,7 +54,7 @@ def roots_and_leaves(edges: DataFrame) -> DataFrame:
     return p.distinct().join(c, "node", "left_anti").withColumn("kind", F.lit("root")).unionByName(c.distinct().join(p, "node", "left_anti").withColumn("kind", F.lit("leaf")))
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node of each node's undirected component.
 
     Labels pass to neighbours and then jump to the label of the label, so that rounds grow with the logarithm of the distance.
@@ -54,7 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = edges.select("child", "parent").where("child is not null and parent is not null")
     both = materialise(e.unionByName(e.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).distinct(), "edges")
     label = materialise(both.groupBy(F.col("child").alias("node")).agg(F.least(F.first("child"), F.min("parent")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.min("component").alias("m"))
         new = label.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         jump = label.select(F.col("node").alias("c"), F.col("component").alias("c2"))
@@ -73,38 +81,140 @@ def common_ancestors(pairs: DataFrame, closed: DataFrame, depth: DataFrame) -> D
     return j.groupBy("a", "b").agg(F.min(F.struct((-F.col("depth")).alias("d"), "ancestor"))["ancestor"].alias("ancestor"))
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
-    """The links that are left when nodes without a parent and nodes without a child are peeled off again and again."""
+def _links_of(batches: Iterator[pd.DataFrame]) -> list[tuple]:
+    return [x for b in batches for x in zip(b["child"], b["parent"], strict=True)]
+
+
+def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of the task that are left when nodes without a parent or without a child are taken away until there is none."""
+    links = _links_of(batches)
+    up, down = defaultdict(set), defaultdict(set)
+    for c, p in links:
+        up[c].add(p), down[p].add(c)
+    todo = [n for n in up.keys() | down.keys() if not up.get(n) or not down.get(n)]
+    gone = set(todo)
+    while todo:
+        n = todo.pop()
+        for near, back in ((up, down), (down, up)):
+            for m in near.get(n, ()):
+                back[m].discard(n)
+                if not back[m] and m not in gone:
+                    gone.add(m), todo.append(m)
+    left = [(c, p) for c, p in links if c not in gone and p not in gone]
+    yield pd.DataFrame({"child": [c for c, _ in left], "parent": [p for _, p in left]}, dtype=None if left else object)
+
+
+def cyclic_core(edges: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """The links that are left when nodes without a parent and nodes without a child are peeled off again and again.
+
+    Rounds of joins go on until nothing is peeled or one task can hold the rest, which then peels it to the end; the bound doesn't alter the result.
+    """
     e = materialise(edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct(), "core")
     n = e.count()
-    for _ in range(max_rounds):
+    while n > links_per_task:
         left = e.join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
         e = materialise(left.select("child", "parent"), "core")
         m = e.count()
-        if m == n or m == 0:
-            break
+        if m == n:
+            return e
         n = m
-    return e
-
-
-def cycles(edges: DataFrame, max_length: int = 16) -> DataFrame:
-    """``nodes, length``: each simple cycle of at least two nodes once, beginning at its smallest node. Only the cyclic core is walked."""
-    e = cyclic_core(edges)
-    paths = materialise(e.where("parent > child").select(F.col("child").alias("first"), F.col("parent").alias("last"), F.array("child", "parent").alias("nodes")), "paths")
-    found = None
-    for _ in range(max_length):
-        if paths.isEmpty():
-            break
-        step = paths.join(e, paths["last"] == e["child"])
-        closed = materialise(step.where("parent = first").select("nodes"), "cycles")
-        found = closed if found is None else found.unionByName(closed)
-        paths = materialise(step.where((F.col("parent") > F.col("first")) & ~F.array_contains("nodes", F.col("parent"))).select("first", F.col("parent").alias("last"), F.concat("nodes", F.array("parent")).alias("nodes")), "paths")
-    if found is None:
-        found = e.where("false").select(F.array("child").alias("nodes"))
-    return found.select("nodes", F.size("nodes").alias("length"))
+    return materialise(e.coalesce(1).mapInPandas(_peel, e.schema), "core")
+
+
+def _strong(graph: dict) -> list[set]:
+    """The strongly connected sets of at least two nodes (Tarjan, without recursion)."""
+    order, low, on, stack, found = {}, {}, set(), [], []
+    for root in graph:
+        if root in order:
+            continue
+        work = [(root, iter(graph[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root), on.add(root)
+        while work:
+            v, it = work[-1]
+            for w in it:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w), on.add(w)
+                    work.append((w, iter(graph[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], order[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = set()
+                    while v not in part:
+                        w = stack.pop()
+                        on.discard(w), part.add(w)
+                    if len(part) > 1:
+                        found.append(part)
+    return found
+
+
+def _simple_cycles(links: list[tuple]) -> Iterator[list]:
+    """Each simple cycle of the links from its smallest node on (Johnson 1975); as long as the cycles are."""
+    graph = defaultdict(list)
+    for c, p in links:
+        graph[c].append(p)
+        graph[p]
+    todo = _strong(graph)
+    while todo:
+        part = todo.pop()
+        first = min(part)
+        sub = {v: [w for w in graph[v] if w in part] for v in part}
+        path, blocked, closed, waits = [first], {first}, set(), defaultdict(set)
+        work = [(first, list(sub[first]))]
+        while work:
+            v, near = work[-1]
+            if near:
+                w = near.pop()
+                if w == first:
+                    yield list(path)
+                    closed.update(path)
+                elif w not in blocked:
+                    path.append(w), blocked.add(w), closed.discard(w)
+                    work.append((w, list(sub[w])))
+                continue
+            if v in closed:
+                free = [v]
+                while free:
+                    u = free.pop()
+                    if u in blocked:
+                        blocked.discard(u)
+                        free.extend(waits.pop(u, ()))
+            else:
+                for w in sub[v]:
+                    waits[w].add(v)
+            work.pop(), path.pop()
+        part.discard(first)
+        todo.extend(_strong({v: [w for w in sub[v] if w in part] for v in part}))
+
+
+def _list_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = _simple_cycles(_links_of(batches))
+    while some := list(itertools.islice(found, 10_000)):
+        yield pd.DataFrame({"nodes": some})
+
+
+def cycles(edges: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """``nodes, length``: each simple cycle of at least two nodes once, of any length, beginning at its smallest node.
+
+    Only the cyclic core is walked: in one task if it fits, else each of its components within one task.
+    """
+    e = cyclic_core(edges, links_per_task)
+    kind = e.schema["child"].dataType.simpleString()
+    if e.count() > links_per_task:
+        parts = components(e).withColumnRenamed("node", "child")
+        e = e.join(parts, "child").repartition("component").select("child", "parent")
+    else:
+        e = e.coalesce(1)
+    return materialise(e.mapInPandas(_list_cycles, f"nodes array<{kind}>"), "cycles").select("nodes", F.size("nodes").alias("length"))
 
 
-def break_cycles(edges: DataFrame, depth: DataFrame | None = None, max_rounds: int = 32) -> DataFrame:
+def break_cycles(edges: DataFrame, depth: DataFrame | None = None) -> DataFrame:
     """``child, parent, removed``: the links, those marked that break all cycles.
 
     Self links go first. Then, of each cycle, the link whose parent is deepest (most specific; without depths: the largest) goes, until none is left.
@@ -112,7 +222,7 @@ def break_cycles(edges: DataFrame, depth: DataFrame | None = None, max_rounds: i
     e = edges.select("child", "parent").distinct()
     gone = e.where("child = parent")
     rest = materialise(e.where("child <> parent"), "links")
-    for _ in range(max_rounds):
+    while True:
         c = cycles(rest).select("nodes", F.explode(F.transform("nodes", lambda x, i: F.struct(x.alias("child"), F.get("nodes", F.pmod(i + 1, F.size("nodes"))).alias("parent")))).alias("l")).select("nodes", "l.child", "l.parent")
         if depth is not None:
             c = c.join(depth.withColumnRenamed("node", "parent"), "parent", "left")

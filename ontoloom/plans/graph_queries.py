@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import BLANKS, last
+from ontoloom.functions.text import BLANKS, label_key, last
 from ontoloom.operators import axioms as ax
 from ontoloom.operators import graph as g
 from ontoloom.operators import relations as r
@@ -61,6 +61,20 @@ def cycle_break(spark: SparkSession, d: str) -> DataFrame:
     return g.break_cycles(_rings(spark, d))
 
 
+def _is_a(spark: SparkSession, d: str) -> DataFrame:
+    """The is-a links by label key: deep, and with long rings."""
+    t = table(spark, d, "taxonomy_is_a").select(label_key(F.col("child")).alias("child"), label_key(F.col("parent")).alias("parent"))
+    return t.where("child is not null and parent is not null").distinct()
+
+
+def cycle_report_is_a(spark: SparkSession, d: str) -> DataFrame:
+    return g.cycles(_is_a(spark, d)).select(F.array_join("nodes", ">").alias("nodes"), "length")
+
+
+def cycle_break_is_a(spark: SparkSession, d: str) -> DataFrame:
+    return g.break_cycles(_is_a(spark, d))
+
+
 def bucket_inference(spark: SparkSession, d: str) -> DataFrame:
     lab = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_name").alias("label"))
     lab = lab.union(table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey"), F.lit("own")))
@@ -215,7 +229,7 @@ QUERIES = {
     for f in (
         tax_closure, tax_depth, roots_leaves, components, lca_pairs, cycle_report, cycle_break, bucket_inference, relation_keys, generic_spans, relation_diversity, surface_map, span_canonical, svo_triples,
         taxonomy_like_filter, extraction_cascade, accept_reject, json_pick, literal_types, property_kind, domain_range, assertion_filter, class_admission, tax_edge_load, local_names, literal_render, predicate_filter,
-        evidence_sample, axiom_validate, class_set,
+        evidence_sample, axiom_validate, class_set, cycle_report_is_a, cycle_break_is_a,
     )
 }
 
