@@ -16,33 +16,75 @@ from ontoloom.session import materialise
 LINKS_PER_TASK = 500_000
 
 
-def closure(edges: DataFrame, max_hops: int = 64) -> DataFrame:
-    """``node, ancestor, hops``: every ancestor with its least distance; a node on a cycle is its own ancestor. ``edges``: child, parent."""
-    e = materialise(edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct(), "edges")
-    step = materialise(e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops")), "closure")
-    parts, known = [step], step.select("node", "ancestor")
-    for hops in range(2, max_hops + 1):
-        nxt = step.join(e, step["ancestor"] == e["child"]).select("node", F.col("parent").alias("ancestor")).distinct().join(known, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hops))
-        step = materialise(nxt, "closure")
-        if step.isEmpty():
+def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``node, ancestor, hops``: every ancestor with its least distance; a node on a cycle is its own ancestor. ``edges``: child, parent.
+
+    Distances double: a pair further than ``span`` links is one of exactly ``span`` links and one of at most so many, so that
+    the rounds grow with the logarithm of the depth. Only ``max_hops`` limits the distance, where it is given.
+    """
+    e = edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct()
+    known = materialise(e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops")), "closure")
+    last, span = known, 1
+    while max_hops is None or span < max_hops:
+        far = last.where(F.col("hops") == span).select("node", F.col("ancestor").alias("via"))
+        rest = known.select(F.col("node").alias("via"), "ancestor", (F.col("hops") + span).alias("hops"))
+        if max_hops is not None:
+            rest = rest.where(F.col("hops") <= max_hops)
+        nxt = far.join(rest, "via").groupBy("node", "ancestor").agg(F.min("hops").alias("hops")).join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        last = materialise(nxt.select("node", "ancestor", "hops"), "closure")
+        if last.isEmpty():
             break
-        parts.append(step)
-        known = known.unionByName(step.select("node", "ancestor"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        known = known.unionByName(last)
+        span *= 2
+    return known
 
 
-def depths(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``node, depth``: the longest path from a root (depth 0) along the links of an acyclic graph; nodes without a root above have none."""
+def _levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Longest paths from the roots, by taking nodes whose parents are all done."""
+    links = _links_of(batches)
+    down, has_parent = defaultdict(list), set()
+    for c, p in links:
+        down[p].append(c), has_parent.add(c)
+    depth = {n: 0 for n in down if n not in has_parent}
+    todo, below = list(depth), set(depth)
+    while todo:
+        for c in down.get(todo.pop(), ()):
+            if c not in below:
+                below.add(c), todo.append(c)
+    waits: dict = defaultdict(int)
+    for c, p in links:
+        if p in below:
+            waits[c] += 1
+    todo, done = list(depth), 0
+    while todo:
+        n = todo.pop()
+        done += 1
+        for c in down.get(n, ()):
+            depth[c] = max(depth.get(c, 0), depth[n] + 1)
+            waits[c] -= 1
+            if not waits[c]:
+                todo.append(c)
+    if done < len(below):
+        raise ValueError("a cycle lies below a root: break the cycles first")
+    yield pd.DataFrame({"node": list(depth), "depth": list(depth.values())}, dtype=None if depth else object)
+
+
+def depths(edges: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """``node, depth``: the longest path from a root (depth 0) along the links of an acyclic graph; nodes without a root above have none.
+
+    Raises if a cycle lies below a root. More links than one task can hold are walked level by level to the last.
+    """
     e = materialise(edges.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct(), "edges")
+    n = e.count()
+    if n <= links_per_task:
+        return materialise(e.coalesce(1).mapInPandas(_levels, f"node {e.schema['child'].dataType.simpleString()}, depth int"), "depths")
     level = materialise(e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti"), "level")
-    out = level.select("node", F.lit(0).alias("depth"))
-    for d in range(1, max_depth + 1):
+    out, d = level.select("node", F.lit(0).alias("depth")), 0
+    while not level.isEmpty():
+        d += 1
+        if d > n + 1:
+            raise ValueError("a cycle lies below a root: break the cycles first")
         level = materialise(level.join(e, level["node"] == e["parent"]).select(F.col("child").alias("node")).distinct(), "level")
-        if level.isEmpty():
-            break
         out = out.unionByName(level.select("node", F.lit(d).alias("depth")))
     return out.groupBy("node").agg(F.max("depth").alias("depth"))
 

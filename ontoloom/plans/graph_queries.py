@@ -75,6 +75,25 @@ def cycle_break_is_a(spark: SparkSession, d: str) -> DataFrame:
     return g.break_cycles(_is_a(spark, d))
 
 
+def tax_closure_is_a(spark: SparkSession, d: str) -> DataFrame:
+    return g.closure(_is_a(spark, d))
+
+
+def _is_a_acyclic(spark: SparkSession, d: str) -> DataFrame:
+    return g.break_cycles(_is_a(spark, d)).where("not removed").select("child", "parent")
+
+
+def tax_depth_is_a(spark: SparkSession, d: str) -> DataFrame:
+    return g.depths(_is_a_acyclic(spark, d))
+
+
+def lca_pairs_is_a(spark: SparkSession, d: str) -> DataFrame:
+    e = _is_a_acyclic(spark, d)
+    first = e.groupBy("parent").agg(F.min("child").alias("a"))
+    pairs = e.join(first, "parent").select("a", F.col("child").alias("b")).where("a < b").distinct()
+    return g.common_ancestors(pairs, g.closure(e), g.depths(e))
+
+
 def bucket_inference(spark: SparkSession, d: str) -> DataFrame:
     lab = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_name").alias("label"))
     lab = lab.union(table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey"), F.lit("own")))
@@ -229,7 +248,7 @@ QUERIES = {
     for f in (
         tax_closure, tax_depth, roots_leaves, components, lca_pairs, cycle_report, cycle_break, bucket_inference, relation_keys, generic_spans, relation_diversity, surface_map, span_canonical, svo_triples,
         taxonomy_like_filter, extraction_cascade, accept_reject, json_pick, literal_types, property_kind, domain_range, assertion_filter, class_admission, tax_edge_load, local_names, literal_render, predicate_filter,
-        evidence_sample, axiom_validate, class_set, cycle_report_is_a, cycle_break_is_a,
+        evidence_sample, axiom_validate, class_set, cycle_report_is_a, cycle_break_is_a, tax_closure_is_a, tax_depth_is_a, lca_pairs_is_a,
     )
 }
 

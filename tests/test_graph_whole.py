@@ -53,3 +53,47 @@ def test_random_cycles(spark, seed):
 def test_is_a_rings(spark, data):
     left = registry.QUERIES["cycle_break_is_a"](spark, data).where("not removed").select("child", "parent")
     assert graph.cycles(left).count() == 0
+
+
+def brute_closure(links):
+    up, out = {}, {}
+    for c, p in links:
+        if c != p:
+            up.setdefault(c, set()).add(p)
+    for n in up:
+        level, hops = up[n], 1
+        while level:
+            for a in level:
+                out[n, a] = hops
+            level, hops = {p for a in level for p in up.get(a, ()) if (n, p) not in out}, hops + 1
+    return out
+
+
+CHAIN = [(f"n{i:03}", f"n{i + 1:03}") for i in range(150)]
+
+
+@pytest.mark.parametrize("links", [CHAIN, [*CHAIN, ("n150", "n020"), ("n010", "n140")]], ids=["chain", "ring"])
+def test_deep_closure(spark, links):
+    e = spark.createDataFrame(links, LINKS)
+    want = brute_closure(links)
+    assert {(x.node, x.ancestor): x.hops for x in graph.closure(e).collect()} == want
+    assert {(x.node, x.ancestor): x.hops for x in graph.closure(e, 10).collect()} == {k: h for k, h in want.items() if h <= 10}
+
+
+def test_deep_depths(spark):
+    e = spark.createDataFrame([*CHAIN, ("n020", "n150"), ("n000", "n140"), ("p", "q"), ("q", "p"), ("n000", "q")], LINKS)
+    acyclic = e.where("not (child = 'n020' and parent = 'n150')")
+    got = {x.node: x.depth for x in graph.depths(acyclic).collect()}
+    assert got == {f"n{i:03}": 150 - i for i in range(151)}
+
+
+@pytest.mark.parametrize("per_task", [0, 500_000])
+def test_depths_raise_on_a_cycle_below_a_root(spark, per_task):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "root")], LINKS)
+    with pytest.raises(Exception, match="cycle lies below a root"):
+        graph.depths(e, per_task).count()
+
+
+def test_depths_by_levels(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], LINKS)
+    assert {x.node: x.depth for x in graph.depths(e, 0).collect()} == {"c": 0, "b": 1, "d": 1, "a": 2}
