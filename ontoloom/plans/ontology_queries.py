@@ -125,7 +125,7 @@ def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_vectors(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("term_id"), F.concat("p_name", F.lit(" unknownword")).alias("term"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("term_id"), F.concat("p_name", F.lit(" unknownword")).alias("term"))
     w = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(table(spark, d, "embeddings").drop("label"), "vec_id")
     names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
     words = names.join(w, F.length("word") == w["label"], "left").select("word", "embedding").withColumnRenamed("embedding", "vec").where("vec is not null")
