@@ -17,7 +17,7 @@ from ontoloom.sources.tables import table
 
 
 def technical_tokens(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "term_candidates").where(F.col("term_text").rlike("^[ -~]*$"))
+    plain = table(spark, d, "term_candidates").where("term_text is not null")
     a = plain.select(F.explode(F.array("term_text", F.upper(F.replace("term_text", F.lit(" "), F.lit("_"))), F.concat("term_text", F.lit(".cfg")))).alias("term"))
     a = a.union(table(spark, d, "nation").select("n_name")).union(spark.createDataFrame([("sbatch",), ("SRUN",), ("slurm node",), (" ",)], "term string")).distinct()
     return a.select("term", F.coalesce(e.term_type(F.col("term")), F.lit("none")).alias("term_type"), e.is_technical(F.col("term")).alias("technical"))
@@ -158,8 +158,7 @@ def hearst_isa(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_expand(spark: SparkSession, d: str) -> DataFrame:
     el = table(spark, d, "term_enrichment").where("is_generic = 0").select(F.col("canonical_id").alias("term_id"))
-    seeds = _seeds(spark, d).where("parent in ('cache', 'queue', 'limit', 'slot', 'pool')")
-    return x.expand_by_neighbours(seeds, table(spark, d, "skipgram_neighbors"), el).select("child_id", "parent", F.round("similarity", 6).alias("similarity"))
+    return x.expand_by_neighbours(_seeds(spark, d), table(spark, d, "skipgram_neighbors"), el).select("child_id", "parent", F.round("similarity", 6).alias("similarity"))
 
 
 def edge_union(spark: SparkSession, d: str) -> DataFrame:
