@@ -162,6 +162,56 @@ def _compare(most: int, at_once: int = 256):
     return run
 
 
+def _good(vectors: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
+    good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
+    return good.where(f"id is not null and size(vec) = {dim} and not exists(vec, x -> x is null or isnan(x)) and exists(vec, x -> x <> 0)")
+
+
+def _best(k: int, at_once: int = 128):
+    """Of each asking vector of a task its ``k`` best of the task's vectors; float32 products only choose what is compared in float64."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        asks = t["asks"].to_numpy(bool)
+        ids, vecs = t["id"].to_numpy(np.int64), np.stack(t["vec"].to_numpy()).astype(np.float32)
+        by_id = np.argsort(ids[~asks])
+        qi, q, vi, v = ids[asks], vecs[asks], ids[~asks][by_id], vecs[~asks][by_id]
+        out = []
+        if len(qi) and len(vi):
+            unit = lambda m: (d := m.astype(np.float64)) / np.linalg.norm(d, axis=1, keepdims=True)
+            v32, most = unit(v).astype(np.float32), min(k + 1, len(vi))
+            for at in range(0, len(qi), at_once):
+                u = unit(q[at : at + at_once])
+                s = u.astype(np.float32) @ v32.T
+                # the vector itself may be one of the k + 1; rounding of the products and of the result is far below the margin
+                least = np.partition(s, len(vi) - most, axis=1)[:, len(vi) - most] - np.float32(2e-5)
+                for i in range(len(u)):
+                    j = np.flatnonzero(s[i] >= least[i])
+                    j = j[vi[j] != qi[at + i]]
+                    x = np.round(unit(v[j]) @ u[i], 6)
+                    best = np.lexsort((vi[j], -x))[:k]
+                    out.append((np.full(len(best), qi[at + i]), vi[j][best], x[best]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], t) for t in (np.int64, np.int64, float)]
+        return pd.DataFrame({"id": cols[0], "neighbour": cols[1], "similarity": cols[2]})
+
+    return run
+
+
+def exact_nearest(vectors: DataFrame, k: int = 10, key: str = "term_id", vec: str = "vec", dim: int = 100, queries_per_task: int = 16_384, vectors_per_task: int = 65_536) -> DataFrame:
+    """``id, neighbour, similarity, rank``: of each vector its ``k`` most similar others, however little similar; the same vectors count as in ``nearest``.
+
+    Every pair is compared, in blocks, so that the work is quadratic and nothing is missed; the block sizes bound a task's memory.
+    """
+    store = materialise(_good(vectors, key, vec, dim).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
+    n = store.count()
+    nq, nv = max(6, -(-n // queries_per_task)), max(1, -(-n // vectors_per_task))
+    part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = store.select("id", "vec", F.lit(True).alias("asks"), part(nq).alias("qb"), each(nv).alias("vb"))
+    v = store.select("id", "vec", F.lit(False).alias("asks"), each(nq).alias("qb"), part(nv).alias("vb"))
+    found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(_best(k), "id long, neighbour long, similarity double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank") <= k)
+
+
 def nearest(
     vectors: DataFrame, k: int = 10, min_similarity: float = 0.8, key: str = "term_id", vec: str = "vec", dim: int = 100, block: int = 8192, hashing: Hashing | None = None
 ) -> DataFrame:
@@ -171,8 +221,7 @@ def nearest(
     rows are one; of an id with several vectors the smallest in array order is taken. Equal similarities are ranked by id.
     Approximate in that a pair may be missed by all tables; every similarity given is exact (to 6 digits).
     """
-    good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    good = good.where(f"id is not null and size(vec) = {dim} and not exists(vec, x -> x is null or isnan(x)) and exists(vec, x -> x <> 0)")
+    good = _good(vectors, key, vec, dim)
     h = hashing or Hashing.planned(dim, vectors.count())
     # exact copies, found by two hashes of the vector: nearly always few
     ids = good.select("id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")).distinct()

@@ -70,7 +70,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d).select(F.col("id").alias("term_id"), F.col("neighbour").alias("neighbor_term_id"), "similarity", "rank")
+    near = neighbours.exact_nearest(table(spark, d, "term_vectors"))
+    return near.select(F.col("id").alias("term_id"), F.col("neighbour").alias("neighbor_term_id"), "similarity", "rank")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
