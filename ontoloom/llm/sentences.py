@@ -1,112 +1,5 @@
-"""Sentence boundaries across languages and scripts, by cascading tables of break and no-break rules."""
+"""The sentence operator of the core, under its former name."""
 
-from __future__ import annotations
+from ontoloom.operators.sentences import QUOTE, segment, units
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ontoloom.llm.sentence_rules import CASCADES, LAST_WORDS, TABLES
-
-#: Blanks of any kind, as Python's ``str.isspace`` has them.
-PARAGRAPH = re.compile(r"\n\s*\n")
-#: Full stops between digits are no marks.
-MARK = re.compile(r"(?:[!?…。！？｡।॥]|\.(?!\d))+")
-WORD = re.compile(r"[^\W\d_]{3,}\Z")
-QUOTE = re.compile("„[^“”„]*[“”]|“[^”“]*”|«[^»«]*»|「[^」「]*」|『[^』『]*』|\"[^\"]*\"")
-CLOSERS = ")]）」』”»’›"
-BEFORE, AFTER = 80, 24
-
-
-@lru_cache
-def _cascade(language: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
-    rules = [r for t in CASCADES[language] for r in TABLES[t]]
-    return [(r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after)) for r in rules]
-
-
-def _decide(text: str, p: int, left: int, rules: list) -> bool:
-    """Whether the unit that began at ``left`` ends at ``p``, behind a mark: the first rule that matches decides; no rule: it goes on."""
-    before, after = text[max(left, p - BEFORE) : p], text[p : p + AFTER]
-    for breaks, b, a in rules:
-        if a.match(after) and b.search(before):
-            return breaks
-    return False
-
-
-def _plain(text: str, m: re.Match, p: int) -> bool:
-    """A full stop behind a word of three or more small letters that ends no abbreviation, before blanks and a capital: only the last table matches."""
-    s = m.start()
-    if p - s != 1 or text[s] != "." or not text[p].isspace() or p + 1 >= len(text) or not text[p + 1].isupper():
-        return False
-    w = WORD.search(text, max(0, s - 20), s)
-    return w is not None and (x := w.group()).islower() and x not in LAST_WORDS
-
-
-def units(text: str, language: str = "*") -> list[tuple[int, int]]:
-    """(start, end) of every sentence unit, trimmed of blanks; positions count characters from 0, the end is exclusive."""
-    rules, found, at = _cascade(language), [], 0
-    for para in [*PARAGRAPH.finditer(text), None]:
-        end = para.start() if para else len(text)
-        if at < end:
-            piece = text[at:end]
-            if piece and not piece.isspace():
-                _paragraph(text, at, end, rules, found)
-        at = para.end() if para else end
-    return found
-
-
-def _paragraph(text: str, start: int, end: int, rules: list, found: list[tuple[int, int]]) -> None:
-    quotes = [q.span() for q in QUOTE.finditer(text, start, end)]
-    k, left = 0, start
-    for m in MARK.finditer(text, start, end):
-        p = m.end()
-        if m.start() < left:
-            continue
-        while k < len(quotes) and quotes[k][1] < p:
-            k += 1
-        if k < len(quotes) and quotes[k][0] < m.start():  # inside a quotation: only its last mark can end a unit
-            q = quotes[k][1]
-            if text[p : q - 1].strip():
-                continue
-            p = q
-        while p < end and text[p] in CLOSERS:
-            p += 1
-        if p >= end or _plain(text, m, p) or _decide(text, p, left, rules):
-            _add(text, left, p, found)
-            left = p
-    _add(text, left, end, found)
-
-
-def _add(text: str, s: int, e: int, found: list[tuple[int, int]]) -> None:
-    while s < e and text[s].isspace():
-        s += 1
-    while e > s and text[e - 1].isspace():
-        e -= 1
-    if s < e:
-        found.append((s, e))
-
-
-def segment(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "*") -> DataFrame:
-    """``<key>, sent_idx, start_char, end_char, sentence``: the sentence units of every text.
-
-    ``sent_idx`` counts from 0. Null, empty and blank texts have no units; a row with a null key keeps its units under a null
-    key; repeated rows are segmented as often as they stand there. Texts of any length are read whole. Other columns of ``docs``,
-    also ones named like the result's, are ignored.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, idx, starts, ends, sents = [], [], [], [], []
-            for k, t in zip(b["k"], b["t"], strict=True):
-                for i, (s, e) in enumerate(units(t, language)):
-                    keys.append(k), idx.append(i), starts.append(s), ends.append(e), sents.append(t[s:e])
-            yield pd.DataFrame({"k": pd.array(keys, dtype=b["k"].dtype), "sent_idx": idx, "start_char": starts, "end_char": ends, "sentence": sents})
-
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    out = rows.mapInPandas(run, "k string, sent_idx int, start_char int, end_char int, sentence string")
-    return out.select(F.col("k").cast(kind).alias(key), "sent_idx", "start_char", "end_char", "sentence")
+__all__ = ["QUOTE", "segment", "units"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions.text import last
-from ontoloom.operators import axioms, enrich, hierarchy, rdf, relations, taxonomy, terms, textprep
+from ontoloom.operators import axioms, enrich, hierarchy, rdf, relations, sentences, taxonomy, terms, textprep
 
 Catalog = dict[str, DataFrame]
 
@@ -65,12 +65,9 @@ def preprocessing() -> list[Step]:
         return {"cleaned": textprep.clean_documents(c["ingested"])}
 
     def segment(c: Catalog) -> Catalog:
-        # Sentence units of the cleaned text by line and mark; the catalog can bring better ones as raw_units.
-        if "raw_units" in c:
-            return {"sentences": textprep.emit_sentences(c["raw_units"])}
-        t = c["cleaned"].select("doc_id", F.posexplode(F.regexp_extract_all("cleaned_text", F.lit(r"(?s)\S.*?(?:[.!?。！？।](?=\s|$)|$|\n\s*\n)"), F.lit(0))).alias("sent_idx", "sentence"))
-        t = t.withColumn("sentence", F.trim("sentence")).withColumn("start_char", F.lit(0)).withColumn("end_char", F.length("sentence"))
-        return {"sentences": textprep.emit_sentences(t)}
+        # Rule-based units with their positions in the cleaned text; the catalog can bring others as raw_units.
+        raw = c["raw_units"] if "raw_units" in c else sentences.segment(c["cleaned"], text="cleaned_text")
+        return {"sentences": textprep.emit_sentences(raw)}
 
     return [
         Step("ingest", "Ingest", lambda c: {"ingested": textprep.ingest(c["documents"])}),
