@@ -137,6 +137,7 @@ def render_literal(value: Column, kind: Column) -> Column:
     """A literal in N-Triples syntax by its type; values that don't fit the type become strings."""
     raw = F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", "")
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    esc = F.regexp_replace(esc, "\r", r"\\r")
     xsd = lambda v, t: F.concat(F.lit('"'), v, F.lit(f'"^^<http://www.w3.org/2001/XMLSchema#{t}>'))
     return (
         F.when((kind == "boolean") & literal_type(value).eqNullSafe("boolean"), xsd(F.when(F.lower(raw).isin("true", "yes", "on"), "true").otherwise("false"), "boolean"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ontoloom.session import materialise
 
@@ -96,13 +97,37 @@ def roots_and_leaves(edges: DataFrame) -> DataFrame:
     return p.distinct().join(c, "node", "left_anti").withColumn("kind", F.lit("root")).unionByName(c.distinct().join(p, "node", "left_anti").withColumn("kind", F.lit("leaf")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _join_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each node of the task's links with the smallest node it is connected to within the task (disjoint sets)."""
+    up: dict = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for c, p in _links_of(batches):
+        up.setdefault(c, c), up.setdefault(p, p)
+        x, y = top(c), top(p)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    found = [(n, top(n)) for n in up]
+    yield pd.DataFrame({"child": [n for n, _ in found], "parent": [t for _, t in found]}, dtype=None if found else object)
+
+
+def components(edges: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
     """``node, component``: the smallest node of each node's undirected component.
 
-    Labels pass to neighbours and then jump to the label of the label, so that rounds grow with the logarithm of the distance.
+    Tasks first join the links they hold, which leaves one link per node and task. If one task held all, that is the result. Else labels pass to
+    neighbours and jump to the label of the label, until nothing changes, so that rounds grow with the logarithm of the distance.
     """
-    e = edges.select("child", "parent").where("child is not null and parent is not null")
-    both = materialise(e.unionByName(e.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).distinct(), "edges")
+    e = materialise(edges.select("child", "parent").where("child is not null and parent is not null").distinct(), "links")
+    tasks = -(-e.count() // links_per_task) if links_per_task else e.count()
+    local = materialise((e.coalesce(1) if tasks <= 1 else e.repartition(tasks)).mapInPandas(_join_sets, e.schema), "edges")
+    if tasks <= 1:
+        return local.select(F.col("child").alias("node"), F.col("parent").alias("component"))
+    both = materialise(local.unionByName(local.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).distinct(), "edges")
     label = materialise(both.groupBy(F.col("child").alias("node")).agg(F.least(F.first("child"), F.min("parent")).alias("component")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.min("component").alias("m"))
@@ -116,6 +141,11 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def component_sizes(labels: DataFrame) -> DataFrame:
+    """``component, n_nodes``, largest first, of the rows of ``components``."""
+    return labels.groupBy("component").agg(F.count("*").alias("n_nodes")).orderBy(F.desc("n_nodes"), "component")
+
+
 def common_ancestors(pairs: DataFrame, closed: DataFrame, depth: DataFrame) -> DataFrame:
     """``a, b, ancestor``: the deepest common ancestor (a node counts as its own), ties by name; pairs without one have no row."""
     up = closed.select("node", "ancestor").unionByName(depth.select("node", F.col("node").alias("ancestor"))).distinct()
@@ -256,29 +286,66 @@ def cycles(edges: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
     return materialise(e.mapInPandas(_list_cycles, f"nodes array<{kind}>"), "cycles").select("nodes", F.size("nodes").alias("length"))
 
 
-def break_cycles(edges: DataFrame, depth: DataFrame | None = None) -> DataFrame:
-    """``child, parent, removed``: the links, those marked that break all cycles.
+def _breaking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links that go: of each strongly connected set that of the greatest (depth of the parent, parent, child), then of what is left of it, to the end."""
+    rank = {(c, p): (d, p, c) for b in batches for c, p, d in zip(b["child"], b["parent"], b["d"], strict=True)}
+    up = defaultdict(set)
+    for c, p in rank:
+        up[c].add(p)
+        up[p]
+    gone, todo = [], _strong(up)
+    while todo:
+        part = todo.pop()
+        _, p, c = max(rank[v, w] for v in part for w in up[v] if w in part)
+        up[c].discard(p), gone.append((c, p))
+        todo.extend(_strong({v: [w for w in up[v] if w in part] for v in part}))
+    yield pd.DataFrame({"child": [c for c, _ in gone], "parent": [p for _, p in gone]}, dtype=None if gone else object)
+
 
-    Self links go first. Then, of each cycle, the link whose parent is deepest (most specific; without depths: the largest) goes, until none is left.
+def break_cycles(edges: DataFrame, depth: DataFrame | None = None, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """``child, parent, removed``: the links, those marked whose removal leaves no cycle.
+
+    Self links go first. Then, as long as there is a strongly connected set, its link whose parent is deepest (most specific; without depths or in
+    ties: the largest parent, then child) goes; each such link lies on a cycle. No cycle is listed, so that the work doesn't
+    grow with their number. Only the cyclic core is walked: in one task if it fits, else each of its components within one task.
     """
     e = edges.select("child", "parent").distinct()
-    gone = e.where("child = parent")
-    rest = materialise(e.where("child <> parent"), "links")
-    while True:
-        c = cycles(rest).select("nodes", F.explode(F.transform("nodes", lambda x, i: F.struct(x.alias("child"), F.get("nodes", F.pmod(i + 1, F.size("nodes"))).alias("parent")))).alias("l")).select("nodes", "l.child", "l.parent")
-        if depth is not None:
-            c = c.join(depth.withColumnRenamed("node", "parent"), "parent", "left")
-        rank = F.coalesce(F.col("depth"), F.lit(-1)) if depth is not None else F.lit(0)
-        drop = materialise(c.groupBy("nodes").agg(F.max(F.struct(rank.alias("d"), "parent", "child")).alias("x")).select("x.child", "x.parent").distinct(), "drop")
-        if drop.isEmpty():
-            break
-        gone = gone.unionByName(drop)
-        rest = materialise(rest.join(drop, ["child", "parent"], "left_anti"), "links")
-    return e.join(gone.withColumn("removed", F.lit(True)), ["child", "parent"], "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
+    core = cyclic_core(e, links_per_task)
+    if core.count() > links_per_task:
+        core = core.join(components(core).withColumnRenamed("node", "child"), "child").repartition("component")
+    else:
+        core = core.coalesce(1)
+    if depth is not None:
+        core = core.join(F.broadcast(depth.withColumnRenamed("node", "parent").join(core.select("parent").distinct(), "parent", "left_semi")), "parent", "left") if core.count() <= links_per_task else core.join(depth.withColumnRenamed("node", "parent"), "parent", "left").repartition("component")
+    d = F.coalesce("depth", F.lit(-1)) if depth is not None else F.lit(0)
+    drop = materialise(core.select("child", "parent", d.cast("int").alias("d")).mapInPandas(_breaking, edges.select("child", "parent").schema), "drop")
+    gone = e.where("child = parent").unionByName(drop).withColumn("removed", F.lit(True))
+    return e.join(gone, ["child", "parent"], "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
+
+
+def nearest_ancestors(edges: DataFrame, max_hops: int, max_out: int) -> DataFrame:
+    """``node, ancestor, hops, rank``: at most ``max_out`` ancestors of each node within ``max_hops`` links, nearest first, ties by name."""
+    order = W.partitionBy("node").orderBy("hops", "ancestor")
+    return closure(edges, max_hops).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_out)
+
 
+def clamp(terms: DataFrame, classes: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
+    """``term, class, hops``: the term itself if it is a class, else its nearest ancestor that is one, within ``max_hops`` links, ties by name; else null.
 
-def nearest_labelled(edges: DataFrame, labels: DataFrame, max_hops: int = 10) -> DataFrame:
-    """``node, label, hops``: a node's own label (hops 0), else that of its nearest labelled ancestor, ties by label. ``labels``: node, label."""
+    ``terms``: term; ``classes``: term. Repeated and null terms have one and no row.
+    """
+    t, c = terms.select("term").where("term is not null").distinct(), classes.select("term").where("term is not null").distinct()
+    own = t.join(c, "term", "left_semi").select("term", F.struct(F.lit(0).alias("hops"), F.col("term").alias("class")).alias("x"))
+    up = closure(edges, max_hops).join(c.withColumnRenamed("term", "ancestor"), "ancestor", "left_semi").where("node <> ancestor")
+    far = up.select(F.col("node").alias("term"), F.struct("hops", F.col("ancestor").alias("class")).alias("x"))
+    return t.join(own.unionByName(far).groupBy("term").agg(F.min("x").alias("x")), "term", "left").select("term", "x.class", "x.hops")
+
+
+def nearest_labelled(edges: DataFrame, labels: DataFrame, max_hops: int | None = 10) -> DataFrame:
+    """``node, label, hops``: a node's own label (hops 0), else that of its nearest labelled ancestor within ``max_hops`` links (None: any), ties by label.
+
+    ``labels``: node, label.
+    """
     up = closure(edges, max_hops)
     own = labels.where("label is not null").select("node", F.lit(0).alias("hops"), "label")
     far = up.join(labels.where("label is not null").withColumnRenamed("node", "ancestor"), "ancestor").select("node", "hops", "label")

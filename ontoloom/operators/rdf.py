@@ -1,11 +1,12 @@
 """Ontologies as frames of triples: writing, a reader for the Turtle subset, structure, schema and usage checks, samples, precision.
 
 A triple is (s, p, o, o_kind, o_datatype): s, p and resource objects are IRIs without brackets or blank nodes ('_:x'), o_kind is iri, bnode or literal, and
-literals carry their lexical value in o and the IRI of their datatype in o_datatype.
+literals carry their lexical value in o and the IRI of their datatype, or '@' and their language, in o_datatype.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -54,14 +55,16 @@ def node_text(c: Column) -> Column:
 def n_triples(triples: DataFrame) -> DataFrame:
     """``line``: one N-Triples line per triple."""
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    lit = F.concat(F.lit('"'), esc, F.lit('"'), F.when(F.col("o_datatype") != "", F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">"))).otherwise(""))
+    esc = F.regexp_replace(esc, "\r", r"\\r")
+    tag = F.col("o_datatype")
+    lit = F.concat(F.lit('"'), esc, F.lit('"'), F.when(tag.startswith("@"), tag).when(tag != "", F.concat(F.lit("^^<"), tag, F.lit(">"))).otherwise(""))
     return triples.select(F.concat_ws(" ", node_text(F.col("s")), node_text(F.col("p")), F.when(F.col("o_kind") == "literal", lit).otherwise(node_text(F.col("o"))), F.lit(".")).alias("line"))
 
 
 def reified_edges(edges: DataFrame, base: str) -> DataFrame:
     """The links (child, parent, method) as subClassOf triples with a blank node each that tells the method."""
     iri = lambda c: F.concat(F.lit(base), F.col(c))
-    node = F.concat(F.lit("_:e"), F.substring(F.md5(F.concat_ws("|", "child", "parent", "method")), 1, 12))
+    node = F.concat(F.lit("_:e"), F.md5(F.concat_ws("|", "child", "parent", "method")))
     e = edges.select("child", "parent", "method").distinct()
     parts = [(iri("child"), SUBCLASS, iri("parent"), "iri"), (node, OWL + "annotatedSource", iri("child"), "iri"), (node, OWL + "annotatedTarget", iri("parent"), "iri"), (node, base + "method", F.col("method"), "literal")]
     t = None
@@ -74,7 +77,7 @@ def reified_edges(edges: DataFrame, base: str) -> DataFrame:
 # --- reading ----------------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(
-    r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<lit>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<at>@[A-Za-z][\w-]*)|(?P<dt>\^\^)|(?P<num>[+-]?(?:\d+\.\d+|\d+)(?![\w]))"""
+    r"""\s+|\#[^\n]*|(?P<iri><(?:[^<>"{}|^`\\\s]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)|(?P<lit>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<at>@[A-Za-z][\w-]*)|(?P<dt>\^\^)|(?P<num>[+-]?(?:\d+\.\d+|\d+)(?![\w]))"""
     r"""|(?P<bn>_:[\w-]+)|(?P<pn>[A-Za-z][\w.-]*?:[\w.%-]*[\w%-]|[A-Za-z][\w.-]*?:|:[\w.%-]*[\w%-]|:)|(?P<kw>a(?![\w:])|true|false)|(?P<pc>[.;,\[\]()])""",
     re.S,
 )
@@ -84,8 +87,30 @@ class TurtleError(ValueError):
     """The text is outside the subset of Turtle that is read here."""
 
 
-def parse_turtle(text: str) -> list[tuple[str, str, str, str, str]]:
-    """The triples of a text in the subset of Turtle without collections: prefixes, IRIs, names, blank nodes (also in brackets), literals."""
+#: The one-letter escapes of strings.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
+
+
+def unescape(s: str) -> str:
+    """The text that an escaped string or IRI stands for."""
+
+    def one(m: re.Match) -> str:
+        code = m.group(1) or m.group(2)
+        if code is None:
+            return _ESCAPES.get(m.group(3), m.group(3))
+        if int(code, 16) > 0x10FFFF:
+            raise TurtleError(f"no character: {m.group()}")
+        return chr(int(code, 16))
+
+    return _ESCAPE.sub(one, s) if "\\" in s else s
+
+
+def parse_turtle(text: str, scope: str = "") -> list[tuple[str, str, str, str, str]]:
+    """The triples of a text in the subset of Turtle without collections: prefixes, IRIs, names, blank nodes (also in brackets), literals.
+
+    ``scope`` begins the labels of blank nodes, so that those of different texts stay apart.
+    """
     prefixes, out, pos, toks, n_anon = {}, [], 0, [], 0
     while pos < len(text):
         m = _TOKEN.match(text, pos)
@@ -94,7 +119,7 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str]]:
         pos = m.end()
         if m.lastgroup:
             toks.append((m.lastgroup, m.group()))
-    at = 0
+    at, labels = 0, {v for k, v in toks if k == "bn"}
 
     def peek() -> tuple[str, str]:
         return toks[at] if at < len(toks) else ("end", "")
@@ -110,9 +135,9 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str]]:
     def name(t: tuple[str, str]) -> str:
         kind, v = t
         if kind == "iri":
-            return v[1:-1]
+            return unescape(v[1:-1])
         if kind == "bn":
-            return v
+            return f"_:{scope}{v[2:]}"
         if kind == "pn":
             p, _, local = v.partition(":")
             if p not in prefixes:
@@ -125,20 +150,21 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str]]:
         t = take()
         if t[1] == "[":
             n_anon += 1
-            b = f"_:b{n_anon}"
+            while f"_:b{n_anon}" in labels:
+                n_anon += 1
+            b = f"_:{scope}b{n_anon}"
             if peek()[1] != "]":
                 predicates(b)
             take("]")
             return b, "bnode", ""
         if t[0] == "lit":
             q = 3 if t[1][:3] == '"""' else 1
-            v = re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m.group(1), m.group(1)), t[1][q:-q])
+            v = unescape(t[1][q:-q])
             if peek()[0] == "dt":
                 take()
                 return v, "literal", name(take())
             if peek()[0] == "at":
-                take()
-                return v, "literal", RDF + "langString"
+                return v, "literal", take()[1].lower()
             return v, "literal", XSD + "string"
         if t[0] == "num":
             return t[1], "literal", XSD + ("decimal" if "." in t[1] else "integer")
@@ -180,14 +206,18 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str]]:
 
 
 def read_turtle(texts: DataFrame, column: str = "text", key: str = "id", prefixes: str = "") -> DataFrame:
-    """``<key>, error`` and the triple columns: the triples of each text; a text that can't be read gives one row with its error instead."""
+    """``<key>, error`` and the triple columns: the triples of each text; a text that can't be read gives one row with its error instead.
+
+    Labels of blank nodes begin with a hash of key and text: different texts share none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, t in zip(b["k"], b["t"], strict=True):
+                scope = hashlib.md5(f"{k}\0{t}".encode()).hexdigest() + "-"
                 try:
-                    rows += [(k, None, *x) for x in parse_turtle(prefixes + t)]
+                    rows += [(k, None, *x) for x in parse_turtle(prefixes + t, scope)]
                 except TurtleError as e:
                     rows.append((k, str(e), None, None, None, None, None))
             yield pd.DataFrame(rows, columns=["k", "error", "s", "p", "o", "o_kind", "o_datatype"])

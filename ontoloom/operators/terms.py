@@ -121,6 +121,11 @@ def aggregate(cands: DataFrame, min_docs: int = 1) -> DataFrame:
     return g.where(F.col("freq_docs") >= min_docs).select("lemma", "n_tokens", F.col("x.text").alias("term_text"), "freq_total", "freq_docs")
 
 
+def kept_occurrences(cands: DataFrame, terms: DataFrame) -> DataFrame:
+    """The candidates whose term passed the document threshold of ``aggregate``."""
+    return cands.join(terms.select("lemma", "n_tokens"), ["lemma", "n_tokens"], "left_semi")
+
+
 def tf_idf(terms: DataFrame, cands: DataFrame, max_tokens: int = 3) -> DataFrame:
     """``terms`` with ``idf`` = ln((N+1)/(freq_docs+1)) + 1 and ``tf_idf`` = freq_total * idf (0 for long terms); N documents have a candidate."""
     n = cands.agg(F.count_distinct("doc_id")).scalar()

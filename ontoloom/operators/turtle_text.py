@@ -110,6 +110,7 @@ def canonical_names(text: str, prefix: str = "hpc") -> str:
     out = []
     for line in text.split("\n"):
         kind = "property" if re.search(r"owl:(Object|Datatype)Property|rdfs:(domain|range)", line) else "class"
+        line = re.sub(rf"^(\S+\s+){local}(?=\s)", as_("property"), line)  # the predicate behind a subject
         line = re.sub(rf"^(\s*){local}", as_(kind if not line[:1].isspace() else "property"), line)
         line = re.sub(rf"((?:rdfs:subClassOf|rdfs:domain|rdfs:range|\sa)\s+){local}", as_("class"), line)
         out.append(line)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import BLANKS, label_key, last
+from ontoloom.functions.text import BLANKS, label_key, label_key_sql, last
 from ontoloom.operators import axioms as ax
 from ontoloom.operators import graph as g
 from ontoloom.operators import relations as r
@@ -15,89 +15,70 @@ from ontoloom.plans.term_queries import TOKENS_SQL, _in
 from ontoloom.sources.tables import table
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """customer -> nation -> region, customer -> market segment."""
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    a = c.select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
-    b = n.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    e = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.col("c_mktsegment").alias("parent"))
-    return a.union(b).union(e)
+def _is_a(spark: SparkSession, d: str) -> DataFrame:
+    """The is-a links by label key: wide and deep trees, and rings."""
+    t = table(spark, d, "taxonomy_is_a").select(label_key(F.col("child")).alias("child"), label_key(F.col("parent")).alias("parent"))
+    return t.where("child is not null and parent is not null").distinct()
 
 
-def _rings(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    return table(spark, d, "nation").select(F.lpad(n.cast("string"), 2, "0").alias("child"), F.lpad(((n * n + 1) % 25).cast("string"), 2, "0").alias("parent"))
+def _acyclic(spark: SparkSession, d: str) -> DataFrame:
+    return g.break_cycles(_is_a(spark, d)).where("not removed").select("child", "parent")
 
 
 def tax_closure(spark: SparkSession, d: str) -> DataFrame:
-    return g.closure(_edges(spark, d))
+    return g.closure(_is_a(spark, d))
+
+
+def ancestors_bounded(spark: SparkSession, d: str) -> DataFrame:
+    return g.nearest_ancestors(_is_a(spark, d), 6, 12)
 
 
 def tax_depth(spark: SparkSession, d: str) -> DataFrame:
-    return g.depths(_edges(spark, d))
+    return g.depths(_acyclic(spark, d)).select("node", "depth", (F.col("depth") + 1).alias("level"))
 
 
 def roots_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return g.roots_and_leaves(_edges(spark, d))
+    return g.roots_and_leaves(_is_a(spark, d))
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    e = e.union(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("child"), F.concat(F.lit("n"), "s_nationkey").alias("parent")))
-    return g.components(e)
+    return g.components(_is_a(spark, d))
+
+
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return g.component_sizes(g.components(_is_a(spark, d)))
 
 
 def lca_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    pairs = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("c"), F.col("c_custkey") + 1).alias("b"))
+    e = _acyclic(spark, d)
+    first = e.groupBy("parent").agg(F.min("child").alias("a"))
+    pairs = e.join(first, "parent").select("a", F.col("child").alias("b")).where("a < b").distinct()
     return g.common_ancestors(pairs, g.closure(e), g.depths(e))
 
 
 def cycle_report(spark: SparkSession, d: str) -> DataFrame:
-    return g.cycles(_rings(spark, d)).select(F.array_join("nodes", ">").alias("nodes"), "length")
-
-
-def cycle_break(spark: SparkSession, d: str) -> DataFrame:
-    return g.break_cycles(_rings(spark, d))
-
-
-def _is_a(spark: SparkSession, d: str) -> DataFrame:
-    """The is-a links by label key: deep, and with long rings."""
-    t = table(spark, d, "taxonomy_is_a").select(label_key(F.col("child")).alias("child"), label_key(F.col("parent")).alias("parent"))
-    return t.where("child is not null and parent is not null").distinct()
-
-
-def cycle_report_is_a(spark: SparkSession, d: str) -> DataFrame:
     return g.cycles(_is_a(spark, d)).select(F.array_join("nodes", ">").alias("nodes"), "length")
 
 
-def cycle_break_is_a(spark: SparkSession, d: str) -> DataFrame:
+def cycle_break(spark: SparkSession, d: str) -> DataFrame:
     return g.break_cycles(_is_a(spark, d))
 
 
-def tax_closure_is_a(spark: SparkSession, d: str) -> DataFrame:
-    return g.closure(_is_a(spark, d))
-
-
-def _is_a_acyclic(spark: SparkSession, d: str) -> DataFrame:
-    return g.break_cycles(_is_a(spark, d)).where("not removed").select("child", "parent")
-
+def _busy(e: DataFrame, least: int) -> DataFrame:
+    return e.where("child <> parent").groupBy("parent").agg(F.count_distinct("child").alias("n")).where(F.col("n") >= least)
 
-def tax_depth_is_a(spark: SparkSession, d: str) -> DataFrame:
-    return g.depths(_is_a_acyclic(spark, d))
 
-
-def lca_pairs_is_a(spark: SparkSession, d: str) -> DataFrame:
-    e = _is_a_acyclic(spark, d)
-    first = e.groupBy("parent").agg(F.min("child").alias("a"))
-    pairs = e.join(first, "parent").select("a", F.col("child").alias("b")).where("a < b").distinct()
-    return g.common_ancestors(pairs, g.closure(e), g.depths(e))
+def bucket_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Parents of three or more children are the buckets."""
+    e = _is_a(spark, d)
+    return g.nearest_labelled(e, _busy(e, 3).select(F.col("parent").alias("node"), F.upper("parent").alias("label")))
 
 
-def bucket_inference(spark: SparkSession, d: str) -> DataFrame:
-    lab = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_name").alias("label"))
-    lab = lab.union(table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey"), F.lit("own")))
-    return g.nearest_labelled(_edges(spark, d), lab)
+def class_clamp(spark: SparkSession, d: str) -> DataFrame:
+    """Every label clamped to parents of two or more children, within four links."""
+    e = _is_a(spark, d)
+    t = g.clamp(e.select(F.explode(F.array("child", "parent")).alias("term")), _busy(e, 2).select(F.col("parent").alias("term")), e)
+    return t.select("term", F.coalesce("class", F.lit("none")).alias("class"), F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
 def relation_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -246,19 +227,24 @@ def class_set(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tax_closure, tax_depth, roots_leaves, components, lca_pairs, cycle_report, cycle_break, bucket_inference, relation_keys, generic_spans, relation_diversity, surface_map, span_canonical, svo_triples,
+        tax_closure, ancestors_bounded, tax_depth, roots_leaves, components, component_sizes, lca_pairs, cycle_report, cycle_break, bucket_inference, class_clamp, relation_keys, generic_spans, relation_diversity, surface_map, span_canonical, svo_triples,
         taxonomy_like_filter, extraction_cascade, accept_reject, json_pick, literal_types, property_kind, domain_range, assertion_filter, class_admission, tax_edge_load, local_names, literal_render, predicate_filter,
-        evidence_sample, axiom_validate, class_set, cycle_report_is_a, cycle_break_is_a, tax_closure_is_a, tax_depth_is_a, lca_pairs_is_a,
+        evidence_sample, axiom_validate, class_set,
     )
 }
 
-_E = """e as (select distinct * from (select 'c' || c_custkey child, 'n' || c_nationkey parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation
- union all select 'c' || c_custkey, c_mktsegment from customer where c_custkey % 2 = 0))"""
-_CL = f"with recursive {_E}, cl as (select child node, parent ancestor, 1 hops from e union select cl.node, e.parent, hops + 1 from cl join e on e.child = cl.ancestor)"
-_DEPTH = "dp as (select node, max(hops) depth from cl group by 1 union all select distinct parent, 0 from e where parent not in (select child from e))"
-_RING = "e as (select lpad(n_nationkey::varchar, 2, '0') child, lpad(((n_nationkey * n_nationkey + 1) % 25)::varchar, 2, '0') parent from nation)"
-_CYCLES = f"""with recursive {_RING}, p as (select child f, parent l, [child, parent] ns from e where child <> parent union all select f, parent, ns || [parent] from p join e on e.child = p.l where parent > f and not list_contains(ns, parent) and len(ns) < 16),
- cy as (select ns from p join e on e.child = p.l and e.parent = p.f where list_min(ns) = f)"""
+_E = f"e as materialized (select distinct {label_key_sql('child')} child, {label_key_sql('parent')} parent from taxonomy_is_a where {label_key_sql('child')} is not null and {label_key_sql('parent')} is not null)"
+# cycles: walked from their smallest node, in every length; here each ring is simple, so one link goes of each
+_CYCLES = f"""with recursive {_E}, p as (select child f, parent l, [child, parent] ns from e where parent > child union all select f, parent, ns || [parent] from p join e on e.child = p.l where parent > f and not list_contains(ns, parent)),
+ cy as (select ns from p join e on e.child = p.l and e.parent = p.f)"""
+_BREAK = f"""{_CYCLES}, l as (select ns, ns[i] child, ns[i % len(ns) + 1] parent from (select ns, unnest(range(1, len(ns) + 1)) i from cy)),
+ dr as (select distinct (max((parent, child)))[1] p, (max((parent, child)))[2] c from l group by ns),
+ br as (select child, parent, child = parent or exists (select 1 from dr where dr.c = child and dr.p = parent) removed from e)"""
+_CLOSE = lambda e: f"""cl(node, ancestor, hops) using key (node, ancestor) as (select child, parent, 1 from {e} where child <> parent union
+ select cl.node, x.parent, cl.hops + 1 from cl join {e} x on x.child = cl.ancestor and x.child <> x.parent left join recurring.cl r on r.node = cl.node and r.ancestor = x.parent where r.node is null)"""
+_CL = f"with recursive {_E}, {_CLOSE('e')}"
+_ACYCLIC = f"""{_BREAK}, ac as materialized (select child, parent from br where not removed),
+ dp(node, depth) as (select distinct parent, 0 from ac where parent not in (select child from ac) union select ac.child, depth + 1 from dp join ac on ac.parent = dp.node), d as (select node, max(depth)::int d from dp group by 1)"""
 _T = """ev as (select *, event_type || case event_id % 3 when 0 then '_size' when 1 then '_by' else '' end rel,
  case event_id % 3 when 0 then floor(value)::bigint::varchar when 1 then 'u' || (user_id % 7) else case when user_id % 2 = 0 then 'yes' else 'v' || user_id end end o, 'u' || user_id s from events)"""
 _LIT = lambda c: f"case when regexp_matches(lower(regexp_replace(trim({c}, ' '), '^[\"'']+|[\"'']+$', '', 'g')), '^(true|false|yes|no|on|off)$') then 'boolean' when regexp_matches(regexp_replace(trim({c}, ' '), '^[\"'']+|[\"'']+$', '', 'g'), '^[+-]?[0-9]+$') then 'integer' when regexp_matches(regexp_replace(trim({c}, ' '), '^[\"'']+|[\"'']+$', '', 'g'), '^[+-]?[0-9]+\\.[0-9]+$') then 'decimal'"
@@ -302,21 +288,25 @@ _XS = lambda v, k: f"""'"' || {v} || '"^^<http://www.w3.org/2001/XMLSchema#{k}>'
 _STR = _XS(f"replace(replace(replace({_RAW}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')", "string")
 
 ORACLE = {
-    "tax_closure": _CL + " select node, ancestor, min(hops) hops from cl group by 1, 2",
-    "tax_depth": _CL + f", {_DEPTH} select node, max(depth) as \"depth\" from dp group by 1",
-    "roots_leaves": f"with {_E} select distinct parent node, 'root' kind from e where parent not in (select child from e) union all select distinct child, 'leaf' from e where child not in (select parent from e)",
-    "components": """with recursive e as (select 'n' || n_nationkey a, 'r' || n_regionkey b from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier), u as (select a, b from e union select b, a from e),
- c as (select a node, a c from u union select u.a, c.c from c join u on u.b = c.node) select node, min(c) component from c group by 1""",
-    "lca_pairs": _CL
-    + f""", {_DEPTH}, d as (select node, max(depth) d from dp group by 1), up as (select distinct node, ancestor from cl union select node, node from d), p as (select 'c' || c_custkey a, 'c' || (c_custkey + 1) b from customer),
- j as (select p.a, p.b, x.ancestor, d.d from p join up x on x.node = p.a join up y on y.node = p.b and y.ancestor = x.ancestor join d on d.node = x.ancestor) select a, b, arg_min(ancestor, (-d, ancestor)) ancestor from j group by 1, 2""",
+    "tax_closure": _CL + " select node, ancestor, hops from cl",
+    "ancestors_bounded": _CL + ", r as (select *, row_number() over (partition by node order by hops, ancestor) rk from cl where hops <= 6) select node, ancestor, hops, rk as rank from r where rk <= 12",
+    "tax_depth": _ACYCLIC + ' select node, d as "depth", d + 1 as "level" from d',
+    "roots_leaves": f"with {_E}, f as (select * from e where child <> parent) select distinct parent node, 'root' kind from f where parent not in (select child from f) union all select distinct child, 'leaf' from f where child not in (select parent from f)",
+    **dict(zip(("components", "component_sizes"), (f"""with recursive {_E}, u as materialized (select child a, parent b from e union select parent, child from e),
+ c(node, c) using key (node) as (select a, min(least(a, b)) from u group by a union select u.a, min(c.c) from c join u on u.b = c.node join recurring.c r on r.node = u.a where c.c < r.c group by u.a) select {x} from c {y}"""
+     for x, y in (("node, c component", ""), ("c component, count(*) n_nodes", "group by 1"))))),
+    "lca_pairs": _ACYCLIC
+    + f""", {_CLOSE('ac')}, up as (select distinct node, ancestor from cl union select node, node from d), f as (select parent, min(child) a from ac group by 1), pr as (select distinct a, child b from ac join f using (parent) where a < child),
+ j as (select pr.a, pr.b, x.ancestor, d.d from pr join up x on x.node = pr.a join up y on y.node = pr.b and y.ancestor = x.ancestor join d on d.node = x.ancestor) select a, b, arg_min(ancestor, (-d, ancestor)) ancestor from j group by 1, 2""",
     "cycle_report": _CYCLES + " select array_to_string(ns, '>') nodes, len(ns)::int length from cy",
-    "cycle_break": _CYCLES
-    + """, l as (select ns, ns[i] child, ns[i % len(ns) + 1] parent from (select ns, unnest(range(1, len(ns) + 1)) i from cy)), dr as (select distinct (max((parent, child)))[1] p, (max((parent, child)))[2] c from l group by ns)
- select child, parent, child = parent or exists (select 1 from dr where dr.c = child and dr.p = parent) removed from e""",
+    "cycle_break": _BREAK + " select child, parent, removed from br",
     "bucket_inference": _CL
-    + """, lb as (select 'r' || r_regionkey node, r_name lab from region union all select 'c' || c_custkey, 'own' from customer where c_custkey % 10 = 0), x as (select node, 0 h, lab from lb union all select cl.node, hops, lab from cl join lb on lb.node = cl.ancestor)
+    + """, lb as (select parent node, upper(parent) lab from e where child <> parent group by 1 having count(distinct child) >= 3), x as (select node, 0 h, lab from lb union all select cl.node, hops, lab from cl join lb on lb.node = cl.ancestor where hops <= 10)
  select node, arg_min(lab, (h, lab)) as "label", min(h)::int hops from x group by 1""",
+    "class_clamp": _CL
+    + """, c as (select parent node from e where child <> parent group by 1 having count(distinct child) >= 2), t as (select child term from e union select parent from e),
+ x as (select node term, 0 h, node c from c union all select cl.node, hops, c.node from cl join c on c.node = cl.ancestor where hops <= 4 and cl.node <> cl.ancestor), m as (select term, min((h, c)) m from x group by 1)
+ select term, coalesce(m[2], 'none') as "class", coalesce(m[1], -1)::int hops from t left join m using (term)""",
     "relation_keys": f"""with p as (select distinct p_type, p_brand, p_type || ' - ' || p_brand b from part) select p_type, p_brand, {_RK("b")} k, {_RK("b")} || '_' || {_RK("p_type")} kp,
  trim(regexp_replace(lower(b), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') ax, {_VALID("b")} as "valid", {_VALID("b || '!'")} bad from p""",
     "generic_spans": f"select distinct title, {_GEN('title')} whole, {_GEN(chr(39).join(['string_split(title, ', ' ', ')[1]']))} as \"first\" from documents where title is not null",

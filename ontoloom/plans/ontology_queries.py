@@ -287,7 +287,7 @@ cc as (select doc_id, chunk_id, (row_number() over (partition by doc_id, chunk_i
 _PATTERNS = f"""unnest([['is_a', '({x.NP}) is (?:a|an) ({x.NP})', '1'], ['other', '({x.NP}) (?:and|or) other ({x.NP})', '1'], ['such_as', '({x.NP}) such as ({x.NP})', '0']])"""
 
 ORACLE = {
-    "technical_tokens": f"""with a as (select unnest([term_text, upper(replace(term_text, ' ', '_')), term_text || '.cfg']) term from term_candidates where regexp_matches(term_text, '^[ -~]*$') union all select n_name from nation
+    "technical_tokens": f"""with a as (select unnest([term_text, upper(replace(replace(term_text, ' ', '_'), 'ß', 'ss')), term_text || '.cfg']) term from term_candidates where term_text is not null union all select n_name from nation
  union all select unnest(['sbatch', 'SRUN', 'slurm node', ' '])) select distinct term, coalesce({_type("term")}, 'none') term_type, {_technical("term")} technical from a""",
     "canonical_groups": _GROUPS
     + f""" select canonical_id, canonical_term, coalesce(term_type, 'none') term_type, array_to_string(ids, ',') members, array_to_string(list_filter(xs, lambda q: lower(q) <> lower(canonical_term)), ';') synonyms,
@@ -320,7 +320,7 @@ ORACLE = {
  from rk, (select unnest([1, 3, 5]) k) where r <= k and rk.term_id in (select term_id from sd) group by 1, 2) select k, count(*) n, round(avg(v), 6) rate from q group by 1""",
     "embedding_coverage": "with a as (select distinct term_id from term_candidates), b as (select distinct term_id, 1 h from skipgram_neighbors) select count(*) n_terms, count(h) n_covered, round(100.0 * count(h) / count(*), 6) percent from a left join b using (term_id)",
     "phrase_vectors": """with w as (select label, arg_min(embedding, vec_id) vec from embeddings group by 1), nm as (select distinct unnest(string_split(lower(p_name), ' ')) word from part), wv as (select word, vec from nm join w on length(word) = label),
- t as (select p_partkey term_id, unnest(string_split(lower(p_name || ' unknownword'), ' ')) word from part where p_partkey <= 500)
+ t as (select p_partkey term_id, unnest(string_split(lower(p_name || ' unknownword'), ' ')) word from part)
  select term_id, case when count(vec) = 0 then 'no_vector' else 'ok' end reason, count(vec) n_known, round(coalesce(avg(vec[1]::double), 0), 5) v0 from t left join wv using (word) group by 1""",
     "head_match": f"""with k as (select p_name term from part union all select term_lemma from term_candidates where term_lemma is not null), c as (select distinct {_squeeze("term")} child from k where {_squeeze("term")} <> ''), cw as (select child, {_LW("child")} w from c where not {_BAD_CHILD("child")}),
  pe as (select distinct {_LW("term")}[-1] parent from k), p as (select parent, array_to_string({_LW("parent")}, ' ') fin from pe where parent is not null and parent not in {_in(x.BAD_PARENTS)}),
@@ -336,8 +336,8 @@ ORACLE = {
  j as (select distinct doc_id, sent_idx, pattern, case when pattern <> 'such_as' then lt else rt end child, case when pattern <> 'such_as' then rt else lt end parent from lt join rt using (doc_id, sent_idx, pattern, l, r))
  select child, parent, pattern, count(distinct (doc_id, sent_idx)) n_sentences from j where child <> parent and parent not in {_in(x.BAD_PARENTS)} and not {_BAD_CHILD("child")} group by 1, 2, 3""",
     "embed_expand": f"""with n0 as (select term_id, neighbor_term_id, max(similarity) similarity from skipgram_neighbors group by 1, 2 having max(similarity) >= 0.75), n1 as (select *, row_number() over (partition by term_id order by similarity desc, neighbor_term_id) r from n0),
- {_SEEDS}, ss as (select * from sd where parent in ('cache', 'queue', 'limit', 'slot', 'pool')), {_ELIGIBLE}
- select neighbor_term_id child_id, parent, round(max(similarity), 6) similarity from ss join n1 using (term_id) where r <= 5 and neighbor_term_id in (from el) and not exists (select 1 from ss z where z.term_id = neighbor_term_id and z.parent = ss.parent) group by 1, 2""",
+ {_SEEDS}, {_ELIGIBLE}
+ select neighbor_term_id child_id, parent, round(max(similarity), 6) similarity from sd join n1 using (term_id) where r <= 5 and neighbor_term_id in (from el) and not exists (select 1 from sd z where z.term_id = neighbor_term_id and z.parent = sd.parent) group by 1, 2""",
     "edge_union": f"select {label_key_sql('child')} child, {label_key_sql('parent')} parent, method, max(coalesce(evidence, '')) evidence from taxonomy_is_a where {label_key_sql('child')} <> {label_key_sql('parent')} group by 1, 2, 3",
     "edge_evidence": """with t as (select distinct trim(regexp_replace(lower(title), '^[0-9.]+ ', ''), ' ') child from documents where title is not null), ed as (select child, 'the ' || string_split(child, ' ')[-1] parent from t where regexp_matches(child, '[\\p{L}\\p{N}]')),
  s as (select doc_id, sent_idx, min(lower(sentence)) s from sentence_segmented group by 1, 2),

@@ -193,7 +193,7 @@ _BARE = """regexp_replace(block, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g')"""
 ORACLE = {
     "rdf_triples": f"with {_TRIPLES} select s, p, o, o_kind, o_datatype from t",
     "ntriples_export": f"with {_TRIPLES} select {_NT} line from t",
-    "reified_edges": f"""with e as (select distinct md5(child) c, md5(parent) p, method m from taxonomy_is_a where child is not null and trim(parent, ' ') <> ''), n as (select *, '_:e' || substr(md5(c || '|' || p || '|' || m), 1, 12) b from e)
+    "reified_edges": f"""with e as (select distinct md5(child) c, md5(parent) p, method m from taxonomy_is_a where child is not null and trim(parent, ' ') <> ''), n as (select *, '_:e' || md5(c || '|' || p || '|' || m) b from e)
  select distinct {_C("c")} s, '{rdf.SUBCLASS}' p, {_C("p")} o, 'iri' o_kind, '' o_datatype from n union all select b, '{rdf.OWL}annotatedSource', {_C("c")}, 'iri', '' from n union all select b, '{rdf.OWL}annotatedTarget', {_C("p")}, 'iri', '' from n
  union all select b, '{BASE}method', m, 'literal', '{rdf.XSD}string' from n""",
     "rdf_coverage": f"with {_TRIPLES}, {_DECL} {_STRUCT}",

@@ -53,16 +53,16 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ontoloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    # taken now: the session may have stopped when the process ends, the JVM hasn't
+    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(jvm, conf, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the JVM has ended before
         pass
 
 

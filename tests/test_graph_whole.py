@@ -51,7 +51,7 @@ def test_random_cycles(spark, seed):
 
 
 def test_is_a_rings(spark, data):
-    left = registry.QUERIES["cycle_break_is_a"](spark, data).where("not removed").select("child", "parent")
+    left = registry.QUERIES["cycle_break"](spark, data).where("not removed").select("child", "parent")
     assert graph.cycles(left).count() == 0
 
 
@@ -97,3 +97,47 @@ def test_depths_raise_on_a_cycle_below_a_root(spark, per_task):
 def test_depths_by_levels(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], LINKS)
     assert {x.node: x.depth for x in graph.depths(e, 0).collect()} == {"c": 0, "b": 1, "d": 1, "a": 2}
+
+
+@pytest.mark.parametrize("per_task", [40, 500_000])
+def test_components(spark, per_task):
+    rnd = random.Random(3)
+    links = [(f"n{rnd.randrange(300):03}", f"n{rnd.randrange(300):03}") for _ in range(160)] + CHAIN[100:] + [("n000", None), (None, "n001"), ("solo", "solo")]
+    label = {n: n for c, p in links if c and p for n in (c, p)}
+    changed = True
+    while changed:
+        changed = False
+        for c, p in links:
+            if c and p and label[c] != label[p]:
+                label[c] = label[p] = min(label[c], label[p])
+                changed = True
+    got = graph.components(spark.createDataFrame(links, LINKS), per_task)
+    assert {x.node: x.component for x in got.collect()} == label
+    sizes = {x.component: x.n_nodes for x in graph.component_sizes(got).collect()}
+    assert sizes == {c: list(label.values()).count(c) for c in label.values()}
+    assert graph.components(spark.createDataFrame([], LINKS)).count() == 0
+
+
+def test_break_cycles_leaves_none_and_takes_deep_links(spark):
+    rnd = random.Random(5)
+    links = sorted({(f"n{rnd.randrange(40):02}", f"n{rnd.randrange(40):02}") for _ in range(220)})
+    e = spark.createDataFrame([*links, ("a", "a")], LINKS)
+    got = graph.break_cycles(e).collect()
+    left = [(x.child, x.parent) for x in got if not x.removed]
+    done = set()
+    while any(c not in done for c, _ in left):
+        new = {c for c, _ in left if c not in done and all(p in done or p not in {x for x, _ in left} for y, p in left if y == c)}
+        assert new, "a cycle is left"
+        done |= new
+    depth = spark.createDataFrame([("x", 1), ("y", 5), ("z", 3)], "node string, depth int")
+    ring = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("w", "x")], LINKS)
+    assert [(x.child, x.parent) for x in graph.break_cycles(ring, depth).where("removed").collect()] == [("x", "y")]
+
+
+def test_clamp_and_nearest_ancestors(spark):
+    e = spark.createDataFrame(CHAIN[:12], LINKS)
+    terms, classes = spark.createDataFrame([("n000",), ("n006",), ("n009",), ("zz",), (None,)], "term string"), spark.createDataFrame([("n006",), ("n012",), (None,)], "term string")
+    got = {x.term: (x["class"], x.hops) for x in graph.clamp(terms, classes, e).collect()}
+    assert got == {"n000": (None, None), "n006": ("n006", 0), "n009": ("n012", 3), "zz": (None, None)}
+    near = [(x.ancestor, x.hops) for x in graph.nearest_ancestors(e, 5, 3).where("node = 'n000'").orderBy("rank").collect()]
+    assert near == [("n001", 1), ("n002", 2), ("n003", 3)]

@@ -182,3 +182,26 @@ def test_streaming_ingest(spark, tmp_path):
     spark.createDataFrame([(9, "other"), (8, "new")], a.schema).write.mode("append").parquet(str(src))
     ingest.ingest_stream(spark.readStream.schema(a.schema).parquet(str(src)), out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(x.doc_id for x in spark.read.parquet(out).collect()) == [1, 3, 8]
+
+
+def test_turtle_escapes_tags_and_blank_nodes(spark):
+    text = '@prefix e: <http://e/> . e:a e:p "caf\\u00e9 \\U0001F600\\r"@EN-gb , [ e:q _:b1 ] . <http://e/\\u0061> e:p "x" .'
+    t = rdf.parse_turtle(text)
+    assert ("http://e/a", "http://e/p", "café 😀\r", "literal", "@en-gb") in t and ("http://e/a", "http://e/p", "x", "literal", rdf.XSD + "string") in t
+    assert ("_:b2", "http://e/q", "_:b1", "bnode", "") in t
+    df = spark.createDataFrame([("1", text), ("2", text), ("3", "e:a e:p 1 .")], "id string, text string")
+    got = rdf.read_turtle(df)
+    nodes = [{x for r in got.where(f"id = '{i}'").collect() for x in (r.s, r.o) if x.startswith("_:")} for i in (1, 2)]
+    assert len(nodes[0]) == len(nodes[1]) == 2 and not nodes[0] & nodes[1] and got.where("id = '3'").first().error
+    lines = [r.line for r in rdf.n_triples(got.where("id = '1'")).collect()]
+    assert any('"café 😀\\r"@en-gb' in x for x in lines) and not any("\r" in x for x in lines)
+
+
+def test_json_objects_and_model_keys():
+    assert labelling.json_objects('a {bad {"a": {"b": "}"}} x {"c": 1}') == ['{"a": {"b": "}"}}', '{"c": 1}'] and labelling.json_objects("") == []
+    one, two = (lambda n: lambda: [n])(1), (lambda n: lambda: [n])(2)
+    assert labelling.model_key("m", one) != labelling.model_key("m", two) and labelling.model_key("m", one) == labelling.model_key("m", one)
+
+
+def test_predicates_are_renamed():
+    assert turtle_text.canonical_names("hpc:x hpc:runs_on hpc:y .\nhpc:runs_on a owl:ObjectProperty .") == "hpc:X hpc:runsOn hpc:y .\nhpc:runsOn a owl:ObjectProperty ."
