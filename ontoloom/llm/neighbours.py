@@ -5,8 +5,13 @@ in its own bucket of each table and looks besides into T perturbed buckets, take
 squared distances to the crossed boundaries). Only a key and a 256-bit sign sketch travel to the buckets; pairs whose
 sketches are close enough become candidates, are merged over the tables and get their exact cosine from the vectors.
 
+The parameters come from a ladder of settings that all find at least 95 % of the pairs at the least similarity asked for (and more above it); the
+number of vectors only chooses among them what is cheapest, since more tables and narrower buckets mean more rows but fewer comparisons. Both
+probabilities depend on distances alone, not on the collection.
+
 No bucket is capped: one with more than ``block`` vectors is cut into blocks by hash of the id, and everything that looks into it is sent
-to each block. Exact copies of a vector are searched once and expanded afterwards.
+to each block. Exact copies of a vector are searched once and expanded afterwards. A vector with more than ``dense`` similar sketches in one block
+is searched exactly, against all vectors in blocks, instead of giving out all these pairs, so that candidates grow in line with the vectors.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,28 +30,48 @@ from pyspark.sql import Window as W
 
 from ontoloom.session import broadcast_if_small, materialise
 
-#: Perturbation sets over the boundaries of a vector sorted by distance: every set that can be among the best T.
-SETS = [(0,), (1,), (0, 1), (2,), (0, 2), (3,), (1, 2), (0, 3), (4,), (0, 1, 2), (1, 3), (0, 4), (5,), (2, 3), (1, 4), (0, 5), (6,)]
 SKETCH = 256
-#: A pair is a candidate if its sketches differ in no more bits than expected at the least similarity asked for, plus so many standard deviations.
-SLACK = 3.0
+#: Settings (functions, tables, probes, width as a multiple of the distance asked for), cheapest rows first, with the share of the pairs at that distance which they find
+#: and the share of all vectors that a vector is compared with where most are at right angles and the least cosine is 0.8: both by simulation.
+LADDER = (
+    (6, 3, 5, 3.2, 0.96, 0.177),
+    (8, 4, 10, 3.2, 0.97, 0.110),
+    (7, 4, 20, 2.4, 0.98, 0.084),
+    (9, 8, 20, 2.4, 0.97, 0.026),
+    (11, 13, 34, 2.4, 0.96, 0.010),
+    (12, 16, 40, 2.4, 0.97, 0.0054),
+)
+#: What one row of the index costs, in comparisons of sketches (shuffling and sorting against four machine words).
+ROW_COST = 1000
+
+
+@lru_cache
+def perturbations(functions: int, n: int) -> tuple[tuple[int, ...], ...]:
+    """The ``n`` sets of boundaries, numbered from the nearest to a vector, that are nearest by expectation; no set crosses both boundaries of a function."""
+    m = functions
+    mean = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
+    mean += [1 - j / (m + 1) + j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(m, 0, -1)]
+    near = range(min(2 * m, 14))
+    sets = (x for r in range(1, 5) for x in itertools.combinations(near, r) if all(i + j != 2 * m - 1 for i, j in itertools.combinations(x, 2)))
+    return tuple(sorted(sets, key=lambda x: (sum(mean[i] for i in x), x))[:n])
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """Parameters of the index. ``planned`` chooses them from the number of vectors, so that buckets grow slower than the data."""
+    """Parameters of the index; ``planned`` takes the rung of the ladder that is cheapest for so many vectors."""
 
     dim: int
     functions: int = 6
     tables: int = 3
     probes: int = 5
-    width: float = 1.5
+    width: float = 2.02
     seed: int = 7
 
     @staticmethod
-    def planned(dim: int, n: int) -> Hashing:
-        m = max(4, round(6 + math.log10(max(n, 1) / 1e5)))
-        return Hashing(dim, functions=m, probes=min(len(SETS), 5 + 3 * max(0, m - 6)))
+    def planned(dim: int, n: int, min_similarity: float = 0.8) -> Hashing:
+        cost = lambda r: r[1] * (1 + r[2]) * ROW_COST + n * r[5]
+        m, tables, probes, width, _, _ = min(LADDER, key=cost)
+        return Hashing(dim, m, tables, probes, width * math.sqrt(max(2 - 2 * min_similarity, 1e-6)))
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         r = np.random.default_rng(self.seed)
@@ -68,27 +94,23 @@ def buckets_of(v: np.ndarray, h: Hashing, arrays: tuple) -> tuple[np.ndarray, np
     whole = np.floor(f).astype(np.int64)
     part = f - whole
     own, probed = [], []
-    m = h.functions
+    m, sets = h.functions, perturbations(h.functions, 2 * h.probes)
     for t in range(h.tables):
         cut = slice(t * m, (t + 1) * m)
         w, home = mult[cut], (whole[:, cut] * mult[cut]).sum(1) + np.int64(t)
         gap = np.concatenate([part[:, cut], 1 - part[:, cut]], 1) ** 2
-        order = np.argsort(gap, 1)[:, : min(7, 2 * m)]
+        order = np.argsort(gap, 1)[:, :14]
         near = np.take_along_axis(gap, order, 1)
         which = order % m
         step = np.where(order < m, -1, 1) * w[which]
-        score, key = [], []
-        for s in SETS:
-            if s[-1] >= order.shape[1]:
-                continue
-            sc = sum(near[:, i] for i in s)
-            for i, j in itertools.combinations(s, 2):
-                sc = np.where(which[:, i] == which[:, j], np.inf, sc)
-            score.append(sc)
-            key.append(home + sum(step[:, i] for i in s))
-        best = np.argsort(np.stack(score, 1), 1)[:, : h.probes]
+        score = np.stack([sum(near[:, i] for i in x) for x in sets], 1)
+        for j, x in enumerate(sets):
+            for i, k in itertools.combinations(x, 2):
+                score[which[:, i] == which[:, k], j] = np.inf
+        key = np.stack([home + sum(step[:, i] for i in x) for x in sets], 1)
+        best = np.argsort(score, 1)[:, : h.probes]
         own.append(home)
-        probed.append(np.take_along_axis(np.stack(key, 1), best, 1))
+        probed.append(np.take_along_axis(key, best, 1))
     return np.stack(own, 1), np.stack(probed, 1)
 
 
@@ -116,48 +138,71 @@ def _file(h: Hashing, homes_only: bool):
     return run
 
 
-def _compare(most: int, at_once: int = 256):
-    """Pairs of a row and a filed vector of the same bucket and block whose sketches differ in at most ``most`` bits.
+def _compare(most: int, dense: int, at_once: int = 256, held: int = 2_000_000):
+    """Pairs of a row and a filed vector of the same bucket and block whose sketches differ in at most ``most`` bits; rows (a, null) tell that a is dense.
 
-    Rows come sorted by bucket and block; only one bucket's block is held at a time.
+    A pair is left out only if both its vectors have more than ``dense`` such pairs in the block, which makes them dense. Rows
+    come sorted by bucket and block; only one bucket's block is held at a time, and of its pairs ``held``: of more, each one's pairs are counted first.
     """
     names = [f"s{i}" for i in range(SKETCH // 64)]
 
-    def pairs(ids: np.ndarray, is_filed: np.ndarray, sk: np.ndarray, out: list) -> None:
-        filed = np.flatnonzero(is_filed)
-        if not len(filed) or len(ids) < 2:
-            return
-        x, xi = sk[filed], ids[filed]
+    def close(sk: np.ndarray, ids: np.ndarray, x: np.ndarray, xi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(ids), at_once):
-            q, qi = sk[at : at + at_once], ids[at : at + at_once]
+            q = sk[at : at + at_once]
             d = np.bitwise_count(q[:, 0, None] ^ x[None, :, 0]).astype(np.uint16)
             for i in range(1, q.shape[1]):
                 d += np.bitwise_count(q[:, i, None] ^ x[None, :, i])
             i, j = np.nonzero(d <= most)
-            a, b = qi[i], xi[j]
-            keep = a != b
-            a, b = a[keep], b[keep]
+            keep = ids[at + i] != xi[j]
+            yield at + i[keep], j[keep]
+
+    def pairs(ids: np.ndarray, is_filed: np.ndarray, sk: np.ndarray, out: list, busy: list) -> None:
+        filed = np.flatnonzero(is_filed)
+        if not len(filed) or len(ids) < 2:
+            return
+        x, xi = sk[filed], ids[filed]
+        rows, cols, kept, n = np.zeros(len(ids), np.int64), np.zeros(len(xi), np.int64), [], 0
+        for i, j in close(sk, ids, x, xi):
+            rows += np.bincount(i, minlength=len(ids))
+            cols += np.bincount(j, minlength=len(xi))
+            n += len(i)
+            if n <= held:
+                kept.append((i, j))
+        many, much = rows > dense, cols > dense
+        for i, j in kept if n <= held else close(sk, ids, x, xi):
+            keep = ~(many[i] & much[j])
+            a, b = ids[i[keep]], xi[j[keep]]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        busy += [ids[many], xi[much]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        rest: list[pd.DataFrame] = []
         for b in itertools.chain(batches, [None]):
             if b is not None and not len(b):
                 continue
-            t = rest if b is None else b if rest is None else pd.concat([rest, b], ignore_index=True)
-            if t is None:
+            if b is not None and rest and (b[["bucket", "block"]].iloc[-1] == rest[-1][["bucket", "block"]].iloc[0]).all():
+                rest.append(b)  # the same block goes on: joined once, at its end
+                continue
+            whole = [*rest, b] if b is not None else rest
+            if not whole:
                 return
+            t = pd.concat(whole, ignore_index=True)
             key = t[["bucket", "block"]].to_numpy(np.int64)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             ends = [*cuts, len(t)] if b is None else list(cuts)
             ids, filed, sk, out, at = t["id"].to_numpy(np.int64), t["filed"].to_numpy(bool), t[names].to_numpy(np.int64).view(np.uint64), [], 0
+            busy: list[np.ndarray] = []
             for e in ends:
-                pairs(ids[at:e], filed[at:e], sk[at:e], out)
+                pairs(ids[at:e], filed[at:e], sk[at:e], out, busy)
                 at = e
-            rest = t.iloc[at:] if b is not None else None
+            rest = [t.iloc[at:]] if b is not None else []
             if out:
                 p = np.unique(np.concatenate(out), axis=0)
-                yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
+                for at in range(0, len(p), 100_000):
+                    yield pd.DataFrame({"a": p[at : at + 100_000, 0], "b": pd.array(p[at : at + 100_000, 1], dtype="Int64")})
+                q = np.unique(np.concatenate(busy))
+                if len(q):
+                    yield pd.DataFrame({"a": q, "b": pd.array([None] * len(q), dtype="Int64")})
 
     return run
 
@@ -196,33 +241,42 @@ def _best(k: int, at_once: int = 128):
     return run
 
 
-def exact_nearest(vectors: DataFrame, k: int = 10, key: str = "term_id", vec: str = "vec", dim: int = 100, queries_per_task: int = 16_384, vectors_per_task: int = 65_536) -> DataFrame:
-    """``id, neighbour, similarity, rank``: of each vector its ``k`` most similar others, however little similar; the same vectors count as in ``nearest``.
+def exact_nearest(
+    vectors: DataFrame, k: int = 10, key: str = "term_id", vec: str = "vec", dim: int = 100, queries_per_task: int = 16_384, vectors_per_task: int = 65_536,
+    queries: DataFrame | None = None, min_similarity: float | None = None,
+) -> DataFrame:
+    """``id, neighbour, similarity, rank``: of each vector its ``k`` most similar others; the same vectors count as in ``nearest``.
 
-    Every pair is compared, in blocks, so that the work is quadratic and nothing is missed; the block sizes bound a task's memory.
+    Only vectors whose id is in ``queries`` (id) ask, if it is given, and only neighbours of cosine ``min_similarity`` or more count, if that is given. Every pair of an
+    asking vector and a vector is compared, in blocks, so that nothing is missed; the block sizes bound a task's memory.
     """
     store = materialise(_good(vectors, key, vec, dim).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    n = store.count()
-    nq, nv = max(6, -(-n // queries_per_task)), max(1, -(-n // vectors_per_task))
+    asking = store if queries is None else materialise(store.join(queries.select("id").distinct(), "id", "left_semi"), "asking")
+    nq, nv = max(6, -(-asking.count() // queries_per_task)), max(1, -(-store.count() // vectors_per_task))
     part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    q = store.select("id", "vec", F.lit(True).alias("asks"), part(nq).alias("qb"), each(nv).alias("vb"))
+    q = asking.select("id", "vec", F.lit(True).alias("asks"), part(nq).alias("qb"), each(nv).alias("vb"))
     v = store.select("id", "vec", F.lit(False).alias("asks"), each(nq).alias("qb"), part(nv).alias("vb"))
     found = q.unionByName(v).groupBy("qb", "vb").applyInPandas(_best(k), "id long, neighbour long, similarity double")
+    if min_similarity is not None:
+        found = found.where(F.col("similarity") >= min_similarity)
     return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank") <= k)
 
 
 def nearest(
-    vectors: DataFrame, k: int = 10, min_similarity: float = 0.8, key: str = "term_id", vec: str = "vec", dim: int = 100, block: int = 8192, hashing: Hashing | None = None
-) -> DataFrame:
+    vectors: DataFrame, k: int = 10, min_similarity: float = 0.8, key: str = "term_id", vec: str = "vec", dim: int = 100, block: int = 8192, hashing: Hashing | None = None,
+    slack: float = 3.5, dense: int = 128,
+) -> DataFrame:
     """``id, neighbour, similarity, rank``: of each vector its up to ``k`` most similar others with cosine ``min_similarity`` or more.
 
     Null vectors, such of another length than ``dim``, with nulls or NaN, and all-zero ones are left out, as are null ids; repeated
     rows are one; of an id with several vectors the smallest in array order is taken. Equal similarities are ranked by id.
-    Approximate in that a pair may be missed by all tables; every similarity given is exact (to 6 digits).
+    Approximate in that a pair may be missed by all tables (see ``LADDER``) or by its sketches: a pair is a candidate if these differ in
+    no more bits than expected at ``min_similarity`` plus ``slack`` standard deviations. Every similarity given is exact (to 6 digits).
+    Vectors with more than ``dense`` similar sketches in a block are searched by ``exact_nearest``. ``exact_nearest`` alone is the exact way.
     """
     good = _good(vectors, key, vec, dim)
-    h = hashing or Hashing.planned(dim, vectors.count())
+    h = hashing or Hashing.planned(dim, vectors.count(), min_similarity)
     # exact copies, found by two hashes of the vector: nearly always few
     ids = good.select("id", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")).distinct()
     twice = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -238,8 +292,9 @@ def nearest(
     rows = rows.select("bucket", "id", "own", *(f"s{i}" for i in range(SKETCH // 64)), F.coalesce("blocks", F.lit(1)).alias("of"), blocks.alias("block"))
     rows = rows.withColumn("filed", F.col("own") & (F.pmod(F.xxhash64("id"), F.col("of")) == F.col("block"))).drop("own", "of")
     frac = math.acos(min_similarity) / math.pi
-    most = math.ceil(SKETCH * frac + SLACK * math.sqrt(SKETCH * frac * (1 - frac)))
-    candidates = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_compare(most), "a long, b long").distinct()
+    most = math.ceil(SKETCH * frac + slack * math.sqrt(SKETCH * frac * (1 - frac)))
+    found = materialise(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInPandas(_compare(most, dense), "a long, b long"), "candidates")
+    candidates, busy = found.where("b is not null").distinct(), found.where("b is null").select(F.col("a").alias("id")).distinct()
 
     store = single.groupBy("id").agg(F.min("vec").alias("vec"))
     va, vb = (store.select(F.col("id").alias(c), F.col("vec").alias(f"v{c}")) for c in "ab")
@@ -247,6 +302,9 @@ def nearest(
     exact = candidates.join(va, "a").join(vb, "b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb"))), 6).alias("similarity"))
     exact = exact.where(F.col("similarity") >= min_similarity)
     both = exact.select(F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("b").alias("x")), F.struct(F.col("b").alias("q"), F.col("a").alias("x")))).alias("p"), "similarity").select("p.q", "p.x", "similarity")
+    if not busy.isEmpty():
+        sure = exact_nearest(single, k, "id", "vec", dim, queries=busy, min_similarity=min_similarity)
+        both = both.unionByName(sure.select(F.col("id").alias("q"), F.col("neighbour").alias("x"), "similarity")).distinct()
     top = lambda t, by: t.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank") <= k)
     # copies: a class lends at most its k+1 smallest ids to any neighbour list
     first = copies.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("x"), "id")

@@ -141,7 +141,7 @@ _NEAREST = """
 with v as (select term_id id, min(vec)::double[100] vec from term_vectors
   where term_id is not null and len(vec) = 100 and len(list_filter(vec, lambda x: x is null or isnan(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0 group by 1),
 p as (select x.id a, y.id b, round(array_cosine_similarity(x.vec, y.vec), 6) s from v x join v y on x.id <> y.id),
-r as (select a, b, s, row_number() over (partition by a order by s desc, b) rk from p where s >= 0.8)
+r as (select a, b, s, row_number() over (partition by a order by s desc, b) rk from p)
 """
 
 ORACLE = {
@@ -151,6 +151,6 @@ ORACLE = {
     "p2_scores": _OCCURRENCES + "select doc_id, term_lemma, n, freq_docs, round(idf, 6) idf, round(n * idf, 6) score from r",
     "p4_found": _WORDS + "select tbl, keep_id, term_id copy_id from t join g using (tbl, w) where term_id <> keep_id",
     "p4_unique": _WORDS + "select tbl, keep_id, n_copies from g",
-    "p5_found": _NEAREST + "select distinct least(a, b) term_id, greatest(a, b) neighbor_term_id from r where rk <= 10",
+    "p5_found": _NEAREST + "select distinct least(a, b) term_id, greatest(a, b) neighbor_term_id from r where rk <= 10 and s >= 0.8",
     "p5_neighbours": _NEAREST + "select a term_id, b neighbor_term_id, round(s, 6) similarity, rk as rank from r where rk <= 10",
 }

@@ -21,3 +21,11 @@ def test_every_vector_has_k(spark, blocks):
         want = sorted((-s[i, j], j) for j in range(150) if j != i)[:10]
         assert [got[i, r + 1][0] for r in range(10)] == [j for _, j in want]
         assert all(abs(got[i, r + 1][1] + want[r][0]) < 1e-9 for r in range(10))
+
+
+def test_chosen_queries(spark):
+    v = np.random.default_rng(5).normal(size=(60, 20)).astype(np.float32)
+    v[1] = v[0] + 0.1 * v[2]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "term_id long, vec array<float>")
+    got = neighbours.exact_nearest(df, 3, dim=20, queries=spark.createDataFrame([(0,), (7,), (7,), (999,), (None,)], "id long"), min_similarity=0.9).collect()
+    assert [(x.id, x.neighbour, x.rank) for x in got] == [(0, 1, 1)]

@@ -1,6 +1,8 @@
 """Nearest vectors against brute force: recall, copies, hot buckets, odd rows."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from ontoloom.llm import neighbours as nb
 
@@ -35,6 +37,50 @@ def test_recall(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def pairs_at(cos, n, dim=100, seed=1):
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n, dim))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a.astype(np.float32), (cos * a + np.sqrt(1 - cos * cos) * b).astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [10**4, 10**5, 10**6, 10**7, 10**8, 10**9])
+@pytest.mark.parametrize("least", [0.8, 0.6])
+def test_planned_recall(n, least):
+    h = nb.Hashing.planned(100, n, least)
+    arrays = h.arrays()
+    for cos, want in ((least, 0.94), ((1 + least) / 2, 0.99)):
+        (oa, pa), (ob, pb) = (nb.buckets_of(v, h, arrays) for v in pairs_at(cos, 1500, seed=3))
+        assert ((oa == ob) | (pa == ob[:, :, None]).any(2) | (pb == oa[:, :, None]).any(2)).any(1).mean() >= want
+
+
+def test_dense_vectors_are_searched_exactly(spark):
+    rows = [(i, v) for i, v in enumerate(clusters(n=20, size=30, noise=0.25))] + [(1000 + i, v) for i, v in enumerate(clusters(n=40, seed=4))]
+    few = nb.nearest(frame(spark, rows), dense=8)
+    got, want = {(r.a, r.b) for r in nb.pairs(few).collect()}, brute(rows)
+    assert got <= want and len(got) >= 0.97 * len(want)
+    per = dict(few.groupBy("id").count().collect())
+    assert max(per.values()) == 10
+
+
+def test_pairs_of_a_block_are_kept_or_dense():
+    rng = np.random.default_rng(1)
+    sk = rng.integers(0, 2, (300, 256)).astype(np.uint8)
+    sk[:100] = sk[0] ^ (rng.random((100, 256)) < 0.02)
+    sk = np.packbits(sk, 1).view(np.int64)
+    t = pd.DataFrame({"bucket": 5, "block": 0, "id": np.arange(300), "filed": np.arange(300) % 3 > 0, **{f"s{i}": sk[:, i] for i in range(4)}})
+    everything = pd.concat(nb._compare(60, 1000)(iter([t.iloc[:90], t.iloc[90:]])))
+    for held in (10, 10**6):
+        some = pd.concat(nb._compare(60, 20, held=held)(iter([t.iloc[:200], t.iloc[200:]])))
+        busy = set(some[some.b.isna()].a)
+        both = lambda f: {(a, b) for a, b in zip(f.a, f.b) if not pd.isna(b)}
+        assert len(busy) == 100 and both(some) <= both(everything) and len(both(everything)) > 3000
+        assert all(a in busy and b in busy for a, b in both(everything) - both(some))
+
+
 def test_hot_bucket_in_blocks(spark):
     rows = [(i, v) for i, v in enumerate(clusters(n=3, size=60, noise=0.1))]
     got = {(r.id, r.neighbour) for r in nb.nearest(frame(spark, rows), block=16).collect()}
