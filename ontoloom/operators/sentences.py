@@ -7,43 +7,58 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.functions.sentence_rules import CASCADES, LAST_WORDS, TABLES
+from ontoloom.functions.sentence_rules import CASCADES, CLOSERS, QUOTATIONS, TABLES, WIDE
 
 #: Blanks of any kind, as Python's ``str.isspace`` has them.
 PARAGRAPH = re.compile(r"\n\s*\n")
 #: Full stops between digits are no marks.
-MARK = re.compile(r"(?:[!?…。！？｡।॥]|\.(?!\d))+")
-WORD = re.compile(r"[^\W\d_]{3,}\Z")
-QUOTE = re.compile("„[^“”„]*[“”]|“[^”“]*”|«[^»«]*»|「[^」「]*」|『[^』『]*』|\"[^\"]*\"")
-CLOSERS = ")]）」』”»’›"
-BEFORE, AFTER = 80, 24
+MARK = re.compile(rf"(?:[!?…{WIDE}]|\.(?!\d))+")
+QUOTE = re.compile("|".join(f"{o}[^{o if o not in c else ''}{c}]*[{c}]" for o, c in QUOTATIONS))
+LAST_WORD = regex.compile(r"(?r)[^\W_]+")
+PLAIN_WORD = regex.compile(r"(?r)(?<!\w)[^\W\d_]{3,}")
+
+
+class Cascade:
+    """The rules of a language by the sign before the position and, for abbreviations, by the word before the full stop; each list in the order of the tables."""
+
+    def __init__(self, language: str):
+        rules = [(r, (r.breaks, regex.compile(f"(?r){r.before}").match, re.compile(r.after).match, r.opens)) for t in CASCADES[language] for r in TABLES[t]]
+        signs = {c for r, _ in rules for c in r.at} | {""}
+        fit = lambda r, c: not r.at or c in r.at
+        self.by_sign = {c: [x for r, x in rules if fit(r, c) and not r.words] for c in signs}
+        words = {w for r, _ in rules for w in r.words}
+        self.by_word = {w: [x for r, x in rules if fit(r, ".") and (not r.words or w in r.words)] for w in words}
+
+    def rules_at(self, text: str, p: int, left: int) -> list:
+        c = text[p - 1]
+        if c == ".":
+            w = LAST_WORD.match(text, left, p - 1)
+            if w is not None and (found := self.by_word.get(w.group().lower())):
+                return found
+        return self.by_sign.get(c, self.by_sign[""])
+
+    def plain(self, text: str, s: int, p: int, left: int) -> bool:
+        """A full stop behind a word of three or more small letters that ends no abbreviation, before blanks and a capital: only the last table matches."""
+        if p - s != 1 or text[s] != "." or p + 1 >= len(text) or not text[p].isspace() or not text[p + 1].isupper():
+            return False
+        w = PLAIN_WORD.match(text, left, s)
+        return w is not None and (x := w.group()).islower() and x not in self.by_word
+
+    def ends(self, text: str, p: int, left: int) -> bool:
+        """Whether the unit that began at ``left`` ends at ``p``, behind a mark: the first rule that matches decides; no rule: it goes on."""
+        for breaks, before, after, opens in self.rules_at(text, p, left):
+            if after(text, p) and (m := before(text, left, p)) and (not opens or not text[left : m.start()].strip()):
+                return breaks
+        return False
 
 
 @lru_cache
-def _cascade(language: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
-    rules = [r for t in CASCADES[language] for r in TABLES[t]]
-    return [(r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after)) for r in rules]
-
-
-def _decide(text: str, p: int, left: int, rules: list) -> bool:
-    """Whether the unit that began at ``left`` ends at ``p``, behind a mark: the first rule that matches decides; no rule: it goes on."""
-    before, after = text[max(left, p - BEFORE) : p], text[p : p + AFTER]
-    for breaks, b, a in rules:
-        if a.match(after) and b.search(before):
-            return breaks
-    return False
-
-
-def _plain(text: str, m: re.Match, p: int) -> bool:
-    """A full stop behind a word of three or more small letters that ends no abbreviation, before blanks and a capital: only the last table matches."""
-    s = m.start()
-    if p - s != 1 or text[s] != "." or not text[p].isspace() or p + 1 >= len(text) or not text[p + 1].isupper():
-        return False
-    w = WORD.search(text, max(0, s - 20), s)
-    return w is not None and (x := w.group()).islower() and x not in LAST_WORDS
+def _cascade(language: str) -> Cascade:
+    return Cascade(language)
 
 
 def units(text: str, language: str = "*") -> list[tuple[int, int]]:
@@ -59,23 +74,23 @@ def units(text: str, language: str = "*") -> list[tuple[int, int]]:
     return found
 
 
-def _paragraph(text: str, start: int, end: int, rules: list, found: list[tuple[int, int]]) -> None:
+def _paragraph(text: str, start: int, end: int, rules: Cascade, found: list[tuple[int, int]]) -> None:
     quotes = [q.span() for q in QUOTE.finditer(text, start, end)]
     k, left = 0, start
     for m in MARK.finditer(text, start, end):
-        p = m.end()
-        if m.start() < left:
+        s, p = m.span()
+        if s < left:
             continue
         while k < len(quotes) and quotes[k][1] < p:
             k += 1
-        if k < len(quotes) and quotes[k][0] < m.start():  # inside a quotation: only its last mark can end a unit
+        if k < len(quotes) and quotes[k][0] < s:  # inside a quotation: only its last mark can end a unit
             q = quotes[k][1]
             if text[p : q - 1].strip():
                 continue
             p = q
         while p < end and text[p] in CLOSERS:
             p += 1
-        if p >= end or _plain(text, m, p) or _decide(text, p, left, rules):
+        if p >= end or rules.plain(text, s, p, left) or rules.ends(text, p, left):
             _add(text, left, p, found)
             left = p
     _add(text, left, end, found)
