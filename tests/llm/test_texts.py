@@ -74,6 +74,49 @@ def test_held_out_languages(spark, identifier):
     assert got == dict(enumerate(HELD_OUT))
 
 
+UNKNOWN = {
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.", "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다.", "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+}
+
+
+def test_other_languages_stay_unknown(spark, identifier):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(UNKNOWN.values())] + [(9, f"{UNKNOWN['el']} {HELD_OUT['en']}")], "doc_id long, text string")
+    got = languages.language_stretches(df, identifier).collect()
+    assert {r.doc_id: r.lang for r in got} == {0: "und", 1: "und", 2: "und", 3: "und", 9: "en"} and all(0 < r.confidence <= 1 for r in got)
+    assert languages.document_languages(languages.language_stretches(df, identifier)).where("lang = 'und'").count() == 4
+
+
+def test_without_any_label(spark):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate([*HELD_OUT.values(), UNKNOWN["el"], UNKNOWN["ko"], UNKNOWN["ar"], None, ""])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in languages.language_stretches(df, languages.fit(df)).collect()}
+    assert [got[i] for i in (9, 10, 11)] == ["und"] * 3 and set(got) == set(range(12))
+    want = list(HELD_OUT)
+    assert sum(got[i] == g for i, g in enumerate(want)) >= 8 and all(got[i] in (g, "und") for i, g in enumerate(want))
+    assert languages.Identifier({}).model.languages == languages.LANGUAGES
+
+
+def test_confidence_is_calibrated(spark, data):
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    sample = languages.training_units(docs, 80)
+    ident = languages.Identifier({g: t[:40] for g, t in sample.items()})
+    held = {g: sorted({u[i : i + 9] for t in texts[40:] for u in t for i in range(0, len(u) - 8, 30)}) for g, texts in sample.items()}
+    texts = [(g, u) for g, us in held.items() for u in us]
+    total, _ = ident.model.score([u for _, u in texts])
+    p = ident.posterior(-total)
+    # labels are wrong in part, so the bounds are wide
+    right = np.array([g for g, _ in texts]) == np.array(ident.model.languages)[p.argmax(1)]
+    for low, high in ((0.35, 0.7), (0.7, 0.9), (0.9, 0.99)):
+        at = (p.max(1) >= low) & (p.max(1) < high)
+        assert at.sum() > 30 and abs(right[at].mean() - p.max(1)[at].mean()) < 0.25
+
+
+def test_clean_folds_and_drops_code():
+    got = languages.clean(["Édite x.conf ou run_2 !", "qpush --nodes=3 run.sh", "a\x1eb", "", "ǆ Ĳ", "Er sagte „ja“ und ging."])
+    assert got == [" edite ou ", "", " a b ", "", " dz ij ", " er sagte und ging "]
+    assert languages.clean([]) == []
+
+
 def test_mixed_and_odd_texts(spark, identifier):
     a, b = HELD_OUT["en"], HELD_OUT["de"]
     text = f"{a}\n\nqpush --nodes=3 run_x.sh\n\n{b}\n\n{a}"
