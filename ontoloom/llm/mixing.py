@@ -1,10 +1,11 @@
 """Mixing sources to target shares of tokens: entropy balancing.
 
 The rates at which documents are used are as near as possible (in relative entropy) to using each once, under the constraints that
-each source gives its share of the tokens and keeps its mean document length. The dual has two numbers per source; Newton's method solves
-it, each iteration being one aggregation of exponentially tilted moments over all documents (counted by source and length
-before). Rates are rounded into copies within bounded groups of documents of a source, the error going on to the next shorter
-document.
+each source gives its share of the tokens and that no document is used more often than its source allows. The dual has one number per token constraint, v: a document of n
+tokens is used at the rate exp(v * n / mean length of the source), or at the most allowed where that is less. Sources that must give more than they have lean
+towards their long documents, the others towards their short ones. Newton's method solves the dual, each iteration being one aggregation of
+exponentially tilted moments over all documents (counted by source and length before). Rates are rounded into copies within bounded groups of
+documents of a source, the error going on to the next shorter document.
 """
 
 from __future__ import annotations
@@ -24,34 +25,29 @@ def source_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(squeeze(F.lower(c)), r"[\s_\-]+", "_"), F.lit(""))
 
 
-def solve(moments, counts: np.ndarray, sums: np.ndarray, want_n: np.ndarray, want_t: np.ndarray, scale: np.ndarray, rounds: int = 60, tolerance: float = 1e-9) -> np.ndarray:
-    """The dual variables (n sources, 2) of the rates exp(u + v * tokens / scale).
+def solve(moments, want: np.ndarray, have: np.ndarray, most: np.ndarray, rounds: int = 100, tolerance: float = 1e-7) -> np.ndarray:
+    """The dual variable of each source, at which rates of least(most, exp(v * x)), x = tokens / mean tokens, give the wanted tokens.
 
-    ``moments(dual)`` gives for each source the sums over its documents of rate * (1, x, x * x), x = tokens / scale. A step that makes the worst
-    relative error larger is halved. Sources whose documents all have one length need no v.
+    ``moments(v)`` gives for each source the sums over its documents of rate * x and, where the rate is below the most, of rate * x * x: the token constraint and its
+    slope. Newton steps on the logarithm of the tokens are kept within the bounds found so far. Infinite where all documents are needed as often as possible.
     """
-    dual = np.zeros((len(counts), 2))
-    dual[:, 0] = np.log(np.maximum(want_n, 1e-12) / np.maximum(counts, 1)) * 0.5  # any start will do; this one saves steps
-    step, before = np.zeros_like(dual), np.full(len(counts), np.inf)
-    for _ in range(rounds):
-        m = moments(dual)
-        gap = np.stack([m[:, 0] - want_n, m[:, 1] - want_t / scale], 1)
-        error = np.abs(gap / np.stack([np.maximum(want_n, 1e-12), np.maximum(want_t / scale, 1e-12)], 1)).max(1)
-        if (error < tolerance).all():
-            break
-        worse = error > before * 1.5
-        step[worse] /= 2
-        dual[worse] -= step[worse]
-        good = ~worse
-        before[good] = error[good]
-        for s in np.flatnonzero(good & (error >= tolerance)):
-            hess = np.array([[m[s, 0], m[s, 1]], [m[s, 1], m[s, 2]]])
-            if np.linalg.det(hess) <= 1e-9 * hess[0, 0] * hess[1, 1]:
-                step[s] = [-np.clip(gap[s, 0] / max(hess[0, 0], 1e-300), -2, 2), 0]
-            else:
-                step[s] = np.clip(-np.linalg.solve(hess, gap[s]), -2, 2)
-            dual[s] += step[s]
-    return dual
+    full = want >= have * most * (1 - 1e-12)
+    v = np.where(full, np.inf, np.log(np.maximum(want, 1e-300) / have))
+    low, high = np.full(len(v), -np.inf), np.full(len(v), np.inf)
+    aim = np.log(np.maximum(want, 1e-300))
+    for _ in range(rounds if not full.all() else 0):
+        m = moments(v)
+        gap = np.where(full, 0, np.log(np.maximum(m[:, 0], 1e-300)) - aim)
+        if (np.abs(gap) < tolerance).all():
+            return v
+        high, low = np.where(gap > 0, np.minimum(high, v), high), np.where(gap < 0, np.maximum(low, v), low)
+        step = np.where(m[:, 1] > 0, -gap * m[:, 0] / np.maximum(m[:, 1], 1e-300), -np.sign(gap))
+        new = v + np.clip(step, -4, 4)
+        inside = (new > low) & (new < high)
+        both = np.isfinite(low) & np.isfinite(high)
+        middle = np.where(both, (np.where(both, low, 0) + np.where(both, high, 0)) / 2, new)
+        v = np.where(full, np.inf, np.where(inside, new, middle))
+    return v
 
 
 def _draw(g: pd.DataFrame) -> pd.DataFrame:
@@ -90,7 +86,7 @@ def mix(
     lengths = materialise(table.groupBy("source", "tokens").agg(F.count("*").alias("n")), "lengths")
     have = {r["source"]: r for r in lengths.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("tokens")).alias("t")).collect() if r["source"]} if want else {}
     want = sorted((r["source"], r["share"], r["most"]) for r in want if r["source"] in have)
-    kind = "source string, u double, v double, scale double, most int, n long"
+    kind = "source string, v double, scale double, most int, n long"
     if not want:
         return table.where("false").select("id", "source", "tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     names = [w[0] for w in want]
@@ -98,21 +94,25 @@ def mix(
     n, t = np.array([have[s]["n"] for s in names], float), np.array([have[s]["t"] for s in names], float)
     total = float(total_tokens) if total_tokens is not None else (most * t / share).min()
     want_t = np.minimum(share * total, most * t)
-    want_n, scale = want_t * n / t, t / n
+    scale = t / n
     place = {s: i for i, s in enumerate(names)}
 
-    def moments(dual: np.ndarray) -> np.ndarray:
-        rates = spark.createDataFrame([(s, float(dual[i, 0]), float(dual[i, 1]), float(scale[i])) for s, i in place.items()], "source string, u double, v double, scale double")
-        x = F.col("tokens") / F.col("scale")
-        r = F.exp(F.least(F.lit(50.0), F.col("u") + F.col("v") * x)) * F.col("n")
-        out = np.zeros((len(names), 3))
-        for row in lengths.join(F.broadcast(rates), "source").groupBy("source").agg(F.sum(r).alias("a"), F.sum(r * x).alias("b"), F.sum(r * x * x).alias("c")).collect():
-            out[place[row["source"]]] = row["a"], row["b"], row["c"]
+    def rates_at(v: np.ndarray) -> DataFrame:
+        rows = [(s, float(np.clip(v[i], -1e300, 1e300)), float(scale[i]), int(most[i]), int(n[i])) for s, i in place.items()]
+        return spark.createDataFrame(rows, kind)
+
+    x = F.col("tokens") / F.col("scale")
+    rate = F.least(F.col("most").cast("double"), F.exp(F.least(F.lit(50.0), F.col("v") * x)))
+
+    def moments(v: np.ndarray) -> np.ndarray:
+        r, out = rate * F.col("n_docs"), np.zeros((len(names), 2))
+        free = F.when(rate < F.col("most"), r * x * x).otherwise(0.0)
+        tilted = lengths.withColumnRenamed("n", "n_docs").join(F.broadcast(rates_at(v)), "source").groupBy("source")
+        for row in tilted.agg(F.sum(r * F.col("tokens")).alias("a"), F.sum(free * F.col("scale")).alias("b")).collect():
+            out[place[row["source"]]] = row["a"], row["b"]
         return out
 
-    dual = solve(moments, n, t, want_n, want_t, scale)
-    rates = spark.createDataFrame([(s, float(dual[i, 0]), float(dual[i, 1]), float(scale[i]), int(most[i]), int(n[i])) for s, i in place.items()], kind)
-    rate = F.least(F.col("most").cast("double"), F.round(F.exp(F.col("u") + F.col("v") * F.col("tokens") / F.col("scale")), 9))
+    rates, rate = rates_at(solve(moments, want_t, t, most)), F.round(rate, 9)
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / group))
     rated = table.join(F.broadcast(rates), "source").select("id", "source", "tokens", rate.alias("rate"), part.alias("part"))
     drawn = rated.groupBy("source", "part").applyInPandas(_draw, "id long, source string, tokens long, rate double, copies int")

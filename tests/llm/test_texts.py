@@ -174,6 +174,31 @@ def test_pack_texts(spark):
     assert sum(r.tokens for r in packing.pack(df, capacity=64).collect()) == sum(got.values())
 
 
+def test_dual_tilts_by_length():
+    rng = np.random.default_rng(1)
+    lengths = [np.maximum(1, rng.lognormal(5, 1, 4000)).round(), np.maximum(1, rng.lognormal(6, 0.5, 500)).round(), rng.integers(10, 2000, 900).astype(float), np.full(50, 7.0)]
+    most, share = np.array([1, 6, 3, 9]), np.array([0.2, 2.5, 0.7, 9.0])
+    have = np.array([x.sum() for x in lengths])
+    want = have * share
+    rates = lambda v: [np.minimum(m, np.exp(np.minimum(50, a * x / x.mean()))) for a, x, m in zip(v, lengths, most)]
+    def moments(v):
+        r = rates(v)
+        return np.array([[(q * x).sum(), (q * x * x / x.mean())[q < m].sum()] for q, x, m in zip(r, lengths, most)])
+    v = mixing.solve(moments, want, have, most)
+    r = rates(v)
+    assert v[0] < -0.1 and v[1] > 0.1 and v[2] < -0.1 and np.isinf(v[3])
+    assert all(abs((q * x).sum() / w - 1) < 1e-6 and q.max() <= m for q, x, w, m in zip(r, lengths, want, most))
+    # least relative entropy: no exchange of tokens between two documents of a source lowers it
+    entropy = lambda q: (q * np.log(np.maximum(q, 1e-300)) - q).sum()
+    for q, x, m in zip(r[:3], lengths, most):
+        for i, j in rng.integers(0, len(x), (200, 2)):
+            p = q.copy()
+            p[i] += 0.01 / x[i]
+            p[j] -= 0.01 / x[j]
+            if i != j and p[i] <= m and p[j] >= 0:
+                assert entropy(p) >= entropy(q) - 1e-9
+
+
 def test_mix(spark):
     rnd = random.Random(7)
     rows = [(i, "Big_One" if i % 3 == 0 else "big-one " if i % 3 == 1 else "mid", rnd.randrange(1, 2000)) for i in range(6000)] + [(9000 + i, "small", rnd.randrange(100, 900)) for i in range(40)] + [(9900, None, 5), (9901, "other", 5)]
@@ -183,6 +208,10 @@ def test_mix(spark):
     use = {r.source: r for r in mixing.shares(got, targets).collect()}
     assert abs(use["big_one"].actual_share - 0.5 / 0.95) < 0.01 and abs(use["small"].actual_share - 0.05 / 0.95) < 0.01 and use["absent"].tokens == 0
     assert use["big_one"].most_copies <= 1 and use["mid"].most_copies <= 2 and use["small"].most_copies <= 6 and {r.source for r in got.select("source").distinct().collect()} == {"big_one", "mid", "small"}
+    rate = {r.id: r.rate for r in got.collect()}
+    size, source = {i: t for i, _, t in rows}, {i: s for i, s, _ in rows}
+    mids = sorted((size[i], rate[i]) for i in rate if source[i] == "mid")
+    assert mids[0][1] != mids[-1][1] and all(abs(np.log(a[1]) / a[0] - np.log(mids[0][1]) / mids[0][0]) < 1e-4 for a in mids if 0 < a[1] < 2 and a[0] > 50)
     assert mixing.mix(None, targets, counts=counts.limit(0)).count() == 0 and mixing.mix(None, targets.limit(0), counts=counts).count() == 0
     fixed = mixing.shares(mixing.mix(None, targets, total_tokens=50_000, counts=counts), targets)
     assert abs(fixed.agg(F.sum("tokens")).first()[0] - 50_000) < 1500
