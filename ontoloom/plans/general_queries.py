@@ -12,12 +12,12 @@ from ontoloom.sources.tables import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return h.hierarchy(table(spark, d, "taxonomy_is_a"))
+    return h.hierarchy(table(spark, d, "taxonomy_is_a")).select("node", "root", "depth")
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     p = h.paths(table(spark, d, "taxonomy_is_a"))
-    return p.select("node", "root", "depth", F.array_join("path", " > ").alias("path"), "on_ring")
+    return p.select("node", "root", "depth", F.array_join("path", " > ").alias("path"), "on_ring", "n_parents")
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_desc
 
 _TREE = f"""
 with recursive e as (select distinct {label_key_sql("child")} c, {label_key_sql("parent")} p from taxonomy_is_a),
-n as (select node, min(parent) parent from (
+n as (select node, min(parent) parent, count(distinct parent)::int n_parents from (
     select c node, case when p <> c then p end parent from e where c is not null union all select p, null from e where p is not null) group by node),
 t as (select node, node root, 0 depth, node path from n where parent is null
       union all select n.node, t.root, t.depth + 1, t.path || ' > ' || n.node from n join t on n.parent = t.node)"""
@@ -76,7 +76,7 @@ x as (
 
 ORACLE = {
     "p3_found": _TREE + " select n.node, coalesce(t.root, '') root, coalesce(t.depth, -1) depth from n left join t using (node)",
-    "p3_paths": _TREE + " select n.node, coalesce(t.root, '') root, coalesce(t.depth, -1) depth, t.path, t.node is null on_ring from n left join t using (node)",
+    "p3_paths": _TREE + " select n.node, coalesce(t.root, '') root, coalesce(t.depth, -1) depth, t.path, t.node is null on_ring, n_parents from n left join t using (node)",
     "p3_descendants": _TREE
     + ", a as (select node, node descendant, 0 distance from t union all select n.parent, a.descendant, a.distance + 1 from a join n on n.node = a.node where n.parent is not null)"
     + " select node, descendant, distance from a where distance > 0",

@@ -67,6 +67,21 @@ def test_paths_and_descendants(spark):
     assert d == {("z", "y", 1), ("z", "x", 2), ("y", "x", 1), ("f", "e", 1)}
 
 
+@pytest.mark.parametrize("per_task", [30, 100_000])
+def test_paths_over_levels(spark, per_task):
+    rnd = random.Random(9)
+    edges = [(f"n{i}", f"n{max(0, i - rnd.randrange(1, 4))}") for i in range(1, 300)] + [(f"m{i}", f"m{(i + 1) % 40}") for i in range(40)] + [("k", "m3"), ("n299", "n5"), ("n299", "zz")]
+    df, want = spark.createDataFrame(edges, "child string, parent string"), brute(edges)
+    got = h.paths(df, links_per_task=per_task).collect()
+    assert {x.node: (x.root, x.depth) for x in got} == want
+    for x in got:
+        assert x.on_ring == (x.depth < 0) and (x.path is None) == x.on_ring
+        if not x.on_ring:
+            assert x.path[0] == x.root and x.path[-1] == x.node and len(x.path) == x.depth + 1
+            assert all((c, p) in edges or (c == "n299") for p, c in zip(x.path, x.path[1:]))
+    assert {x.node: x.n_parents for x in got if x.node in ("n0", "n1", "n299")} == {"n0": 0, "n1": 1, "n299": 3}
+
+
 def test_references(spark):
     refs = spark.createDataFrame([(1, "2023-01-05", "p"), (1, "2023-01-05", "p"), (2, None, "p"), (None, None, "p"), (3, "2023-02-01", "q"), (9, "2023-02-01", "q")], "id int, at string, target string")
     keys = spark.createDataFrame([(1, "2023-01-01"), (1, "2023-06-01"), (3, "2023-03-01"), (None, None)], "id int, made string")
