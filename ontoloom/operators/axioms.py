@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ontoloom.functions.text import last, squeeze
+from ontoloom.operators.relations import axiom_relation_key
 
 #: Names reserved by the vocabularies (without blanks, underscores and prefix), verbs that begin actions, parents too general or instances.
 RESERVED = (
@@ -183,3 +184,69 @@ def class_set(links: DataFrame, triples: DataFrame) -> DataFrame:
     c = links.sparkSession.createDataFrame([(v, 3) for v in BUCKETS.values()], "term string, k int")
     name = F.element_at(F.array(F.lit("taxonomy"), F.lit("triple"), F.lit("upper")), F.col("k"))
     return a.unionByName(b).unionByName(c).where("term is not null").groupBy("term").agg(F.min("k").alias("k")).select("term", name.alias("source"))
+
+
+# --- loads and finishing of proposals --------------------------------------------------------------------------------------------
+
+
+def term_types(labels: DataFrame, order: str, role: str = "role", bucket_column: str = "bucket", category: str = "category") -> DataFrame:
+    """``term, role, bucket, category``: what each term is; of several rows the last by ``order`` counts, ties by the largest values. Blank values are null."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    t = labels.select(blank("term").alias("term"), F.struct(F.col(order).alias("n"), blank(role).alias("role"), blank(bucket_column).alias("bucket"), blank(category).alias("category")).alias("x"))
+    return t.where("term is not null").groupBy("term").agg(F.max("x").alias("x")).select("term", "x.role", "x.bucket", "x.category")
+
+
+def load_triples(rows: DataFrame, s: str = "s", rel: str = "rel", o: str = "o") -> DataFrame:
+    """``s, rel, o``: trimmed triples with a normalised relation; rows with an empty part are dropped, repeated ones stay."""
+    t = rows.select(F.trim(s).alias("s"), F.trim(rel).alias("r"), F.trim(o).alias("o")).where("s <> '' and r <> '' and o <> ''")
+    return t.select("s", axiom_relation_key(F.col("r")).alias("rel"), "o")
+
+
+def resolved_links(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``child, parent`` and the other columns of ``links``: both ends in their canonical small-letter form, without self links and empty ends.
+
+    ``names``: surface, canonical; a label that isn't in it stands for itself.
+    """
+    key = lambda c: F.lower(squeeze(F.col(c)))
+    n = lambda a, b: names.select(F.col("surface").alias(a), F.col("canonical").alias(b))
+    t = links.withColumn("ck", key("child")).withColumn("pk", key("parent")).join(n("ck", "cc"), "ck", "left").join(n("pk", "pc"), "pk", "left")
+    t = t.withColumn("child", F.lower(F.coalesce("cc", "ck"))).withColumn("parent", F.lower(F.coalesce("pc", "pk"))).drop("ck", "pk", "cc", "pc")
+    return t.where("child <> '' and parent <> '' and child <> parent")
+
+
+def resolved_parents(links: DataFrame, names: DataFrame, order: str) -> DataFrame:
+    """``child, parents``: the distinct parents of each child, in order of their first mention by ``order``, ties by name."""
+    t = resolved_links(links, names).groupBy("child", "parent").agg(F.min(order).alias("n"))
+    return t.groupBy("child").agg(F.array_sort(F.collect_list(F.struct("n", "parent")))["parent"].alias("parents"))
+
+
+def known_assertions(triples: DataFrame, predicates: DataFrame) -> DataFrame:
+    """The triples (s, rel, o) with non-empty parts whose relation, in small letters, is in ``predicates`` (rel)."""
+    t = triples.select(F.trim("s").alias("s"), F.lower(F.trim("rel")).alias("rel"), F.trim("o").alias("o")).where("s <> '' and rel <> '' and o <> ''")
+    return t.join(predicates.select(F.lower(F.trim("rel")).alias("rel")).distinct(), "rel", "left_semi").select("s", "rel", "o")
+
+
+def finish_proposals(proposals: DataFrame, kinds: DataFrame, evidence: DataFrame, clamped: DataFrame, top: str = "owl:Thing") -> DataFrame:
+    """``predicate, name, kind, datatype, domain, range, sub_of, inverse_of``: proposals made consistent with the evidence.
+
+    ``proposals``: predicate, name, domain, range, sub_of, inverse_of (arrays); ``kinds``: rel, kind, datatype; ``evidence``: rel, s, o, rank; ``clamped``: term, class (as of
+    ``graph.clamp``). A name that is no snake case is the predicate. The kind is that of the evidence. Domain and range are the class of the proposed term, else that of the
+    first evidence that has one, else ``top``, as are ranges of datatype properties. Sub- and inverse properties are limited to known predicates.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    c = clamped.where("class is not null").select(key("term").alias("term"), "class").dropDuplicates(["term"])
+    of = lambda a, b: c.select(F.col("term").alias(a), F.col("class").alias(b))
+    ev = evidence.select(key("rel").alias("predicate"), "rank", key("s").alias("s"), key("o").alias("o")).join(of("s", "sc"), "s", "left").join(of("o", "oc"), "o", "left")
+    first = ev.groupBy("predicate").agg(F.min_by("sc", F.when(F.col("sc").isNotNull(), F.col("rank"))).alias("ev_domain"), F.min_by("oc", F.when(F.col("oc").isNotNull(), F.col("rank"))).alias("ev_range"))
+    known = kinds.select(key("rel").alias("x")).distinct()
+    p = proposals.withColumn("predicate", key("predicate")).join(kinds.select(key("rel").alias("predicate"), "kind", "datatype"), "predicate")
+    p = p.withColumn("dk", key("domain")).withColumn("rk", key("range")).join(of("dk", "dc"), "dk", "left").join(of("rk", "rc"), "rk", "left").join(first, "predicate", "left")
+    for c_ in ("sub_of", "inverse_of"):
+        kept = p.select("predicate", F.explode(F.transform(c_, key)).alias("x")).join(known, "x", "left_semi").groupBy("predicate").agg(F.array_sort(F.collect_set("x")).alias("kept"))
+        p = p.drop(c_).join(kept.withColumnRenamed("kept", c_), "predicate", "left")
+    limited = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    name = F.when(key("name").rlike("^[a-z][a-z0-9]*(_[a-z0-9]+)*$"), key("name")).otherwise(F.col("predicate"))
+    return p.select(
+        "predicate", name.alias("name"), "kind", F.when(F.col("kind") == "datatype", F.col("datatype")).alias("datatype"), F.coalesce("dc", "ev_domain", F.lit(top)).alias("domain"),
+        F.when(F.col("kind") == "object", F.coalesce("rc", "ev_range", F.lit(top))).otherwise(top).alias("range"), limited(F.col("sub_of")).alias("sub_of"), limited(F.col("inverse_of")).alias("inverse_of"),
+    )

@@ -103,3 +103,32 @@ def corpus(tokens: DataFrame) -> DataFrame:
     t = tokens.where("tag <> 'PUNCT'").groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("pos", F.lower("lemma").alias("w"))))["w"].alias("words"))
     return t.withColumn("words", F.filter("words", lambda w: w != ""))
 
+
+
+def select_terms(terms: DataFrame, min_tf_idf: float = 10.0) -> DataFrame:
+    """The terms that are worth a vector: score of at least ``min_tf_idf``; null scores and texts are left out, repeated rows are one."""
+    return terms.where((F.col("tf_idf") >= min_tf_idf) & F.col("term_text").isNotNull()).distinct()
+
+
+def evaluate_k(neighbours: DataFrame | None, seeds: DataFrame | None, eligible: DataFrame | None, ks: tuple[int, ...] = (3, 5, 8, 10), ranks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """``measure, k, n, value``: the choice of k in one table: similarity by rank (mean, least, most), eligible and sibling rate by k.
+
+    Raises ValueError naming the tables that are missing (None).
+    """
+    missing = [n for n, t in (("neighbours", neighbours), ("seeds", seeds), ("eligible", eligible)) if t is None]
+    if missing:
+        raise ValueError(f"missing: {', '.join(missing)}")
+    curve = similarity_curve(neighbours, ranks).unpivot(["rank", "n"], ["mean", "least", "most"], "measure", "value").select(F.concat(F.lit("similarity_"), "measure").alias("measure"), F.col("rank").alias("k"), "n", "value")
+    rates = [r.select(F.lit(m).alias("measure"), "k", "n", F.col("rate").alias("value")) for m, r in (("eligible_rate", eligible_rate(neighbours, eligible, ks)), ("sibling_rate", sibling_rate(neighbours, seeds, ks)))]
+    return curve.unionByName(rates[0]).unionByName(rates[1])
+
+
+def save_model(model, path: str) -> None:
+    """Store a skip-gram model; an older one at the path is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml.feature import Word2VecModel
+
+    return Word2VecModel.load(path)

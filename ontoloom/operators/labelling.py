@@ -176,3 +176,13 @@ def run_pending(units: DataFrame, done: DataFrame, keys: list[str], prompt: str,
     """A stage of model calls over the units without an entry in the ledger ``done``: (parsed rows, new ledger rows)."""
     answered = generate(tb.pending(units, done, keys), prompt, factory)
     return parse(answered), tb.ledger(answered, keys, F.when(F.col("answer").isNull(), "skipped").otherwise("done"))
+
+
+def few_shot(system: str, examples: list[dict], question, chat: bool = False):
+    """A prompt column: the instruction, the examples (input, output) and the question; with ``chat`` as JSON messages by role."""
+    if not chat:
+        head = "".join(f"Input: {e['input']}\nOutput: {e['output']}\n\n" for e in examples)
+        return F.concat(F.lit(f"{system.strip()}\n\n{head}Input: "), F.coalesce(question, F.lit("")), F.lit("\nOutput:"))
+    turns = [("system", system.strip()), *(t for e in examples for t in (("user", str(e["input"])), ("assistant", str(e["output"]))))]
+    message = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
+    return F.to_json(F.array(*(message(r, F.lit(c)) for r, c in turns), message("user", F.coalesce(question, F.lit("")))))

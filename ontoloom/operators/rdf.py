@@ -338,3 +338,49 @@ def ranked_sample(df: DataFrame, n: int, by: str, seed: int = 42) -> DataFrame:
     """``n`` rows of each value of ``by``."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in sorted(df.columns))))
     return df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(key))).where(F.col("_r") <= n).drop("_r")
+
+
+# --- evaluation exports ----------------------------------------------------------------------------------------------------------
+
+BUILT_IN = (RDF, RDFS, OWL, XSD)
+
+
+def _own(c: str) -> Column:
+    """A named resource that is of none of the built-in vocabularies."""
+    x = F.col(c)
+    ok = ~x.startswith("_:")
+    for ns in BUILT_IN:
+        ok = ok & ~x.startswith(ns)
+    return ok & (short_name(x) != "")
+
+
+def taxonomy_rows(triples: DataFrame) -> DataFrame:
+    """``child, parent``: short names of the named subClassOf statements outside the built-in vocabularies, each once (IRIs compared case aside)."""
+    t = taxonomy(triples).where(_own("child") & _own("parent"))
+    g = t.groupBy(F.lower("child").alias("c"), F.lower("parent").alias("p")).agg(F.min(F.struct("child", "parent")).alias("x"))
+    return g.select(short_name(F.col("x.child")).alias("child"), short_name(F.col("x.parent")).alias("parent"))
+
+
+def relation_rows(triples: DataFrame) -> DataFrame:
+    """``subject, relation, object``: short names of the statements between resources that are neither types nor of the schema, each once (IRIs compared case aside)."""
+    t = relations(triples).where((F.col("o_kind") == "iri") & _own("s") & _own("p") & _own("o"))
+    g = t.groupBy(F.lower("s").alias("a"), F.lower("p").alias("b"), F.lower("o").alias("c")).agg(F.min(F.struct("s", "p", "o")).alias("x"))
+    return g.select(short_name(F.col("x.s")).alias("subject"), short_name(F.col("x.p")).alias("relation"), short_name(F.col("x.o")).alias("object"))
+
+
+def node_roles(triples: DataFrame) -> DataFrame:
+    """``iri, class_like, property_like``: every named subject or link end, class-like if it is declared a class or is an end of a subClassOf link."""
+    kinds = declared(triples).select("iri", (F.col("kind") == "class").alias("c"), (F.col("kind") != "class").alias("p"))
+    ends = triples.where((F.col("p") == SUBCLASS) & (F.col("o_kind") == "iri")).select(F.explode(F.array("s", "o")).alias("iri"), F.lit(True).alias("c"), F.lit(False).alias("p"))
+    subjects = triples.select(F.col("s").alias("iri"), F.lit(False).alias("c"), F.lit(False).alias("p")).distinct()
+    every = kinds.unionByName(ends).unionByName(subjects).where(~F.col("iri").startswith("_:"))
+    return every.groupBy("iri").agg(F.bool_or("c").alias("class_like"), F.bool_or("p").alias("property_like"))
+
+
+def markdown(report: DataFrame, title: str = "Ontology quality") -> DataFrame:
+    """``line_no, line``: a report (section, metric, value) as Markdown: a heading for the report and each section, a list item for each metric, both in order of their names."""
+    items = report.select("section", F.lit(1).alias("k"), "metric", F.concat(F.lit("- "), "metric", F.lit(": **"), F.col("value").cast("string"), F.lit("**")).alias("line"))
+    heads = report.select("section").distinct().select("section", F.lit(0).alias("k"), F.lit("").alias("metric"), F.concat(F.lit("## "), "section").alias("line"))
+    top = report.sparkSession.createDataFrame([("", 0, "", f"# {title}")], "section string, k int, metric string, line string")
+    every = top.unionByName(heads).unionByName(items)
+    return every.select(F.row_number().over(W.orderBy("section", "k", "metric")).alias("line_no"), "line")

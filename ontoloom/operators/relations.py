@@ -140,3 +140,34 @@ def outer_json(c: Column) -> Column:
     bare = F.regexp_replace(s, r'"(?:[^"\\]|\\.)*"', "")
     balanced = F.length(F.regexp_replace(bare, r"[^{]", "")) == F.length(F.regexp_replace(bare, r"[^}]", ""))
     return F.when(balanced & F.try_parse_json(s).isNotNull(), s)
+
+
+# --- relations proposed by a model -----------------------------------------------------------------------------------------------
+
+#: Kinds of relations, and predicates that belong to the taxonomy.
+RELATION_TYPES = "part_of configuration provision usage data_flow logging scheduling other".split()
+TAXONOMY_PREDICATES = "is_a isa type_of typeof kind_of subclass_of subclass superclass_of".split()
+
+
+def proposed_predicate(c: Column, allowed: list[str] | None = None) -> Column:
+    """The predicate is a name in small letters, none of the taxonomy and, if there is a list, in it."""
+    p = F.trim(c)
+    ok = p.rlike("^[a-z][a-z0-9_]{1,63}$") & ~p.isin(TAXONOMY_PREDICATES)
+    return F.coalesce(ok if allowed is None else ok & p.isin(allowed), F.lit(False))
+
+
+def indexed_relations(outputs: DataFrame, cands: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """``doc_id, chunk_id, subj_id, subj, predicate, relation_type, obj_id, obj``: model output in JSON with indexes into the candidates, resolved.
+
+    Indexes out of range, terms related to themselves, predicates that ``proposed_predicate`` refuses and unknown relation types (none: 'other') are dropped; of repeated
+    relations (case aside) one stays, with the smallest relation type.
+    """
+    kind = "struct<relations:array<struct<subject_idx:int,predicate:string,object_idx:int,relation_type:string>>>"
+    e = outputs.select("doc_id", "chunk_id", F.explode(F.from_json("raw", kind)["relations"]).alias("e"))
+    rtype = F.coalesce(F.nullif(F.trim("e.relation_type"), F.lit("")), F.lit("other"))
+    e = e.select("doc_id", "chunk_id", F.col("e.subject_idx").alias("i"), F.trim("e.predicate").alias("predicate"), F.col("e.object_idx").alias("j"), rtype.alias("relation_type"))
+    e = e.where(proposed_predicate(F.col("predicate"), allowed) & F.col("relation_type").isin(RELATION_TYPES))
+    side = lambda n, i: cands.select("doc_id", "chunk_id", F.col("idx").alias(i), F.col("term_id").alias(f"{n}_id"), F.col("term").alias(n))
+    t = e.join(side("subj", "i"), ["doc_id", "chunk_id", "i"]).join(side("obj", "j"), ["doc_id", "chunk_id", "j"]).where(F.lower("subj") != F.lower("obj"))
+    g = t.groupBy("doc_id", "chunk_id", F.lower("subj").alias("s"), "predicate", F.lower("obj").alias("o")).agg(F.min(F.struct("relation_type", "subj_id", "subj", "obj_id", "obj")).alias("x"))
+    return g.select("doc_id", "chunk_id", "x.subj_id", "x.subj", "predicate", "x.relation_type", "x.obj_id", "x.obj")

@@ -106,3 +106,43 @@ def where_roles(df: DataFrame, condition: str | None, roles: dict[str, str]) ->
 
 def has_table(spark, name: str) -> bool:
     return spark.catalog.tableExists(name)
+
+
+def columns_of(df: DataFrame) -> DataFrame:
+    """``position, column, type``: the columns of a table."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+
+
+def create_if_missing(spark, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, made empty with the schema if there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path) if spark.read.parquet(path).columns else spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+
+def reset(df: DataFrame, path: str) -> None:
+    """Empty the Parquet table at ``path``; its schema stays."""
+    df.limit(0).write.mode("overwrite").parquet(path)
+
+
+def page(df: DataFrame, order: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """The rows behind the first ``offset`` in the given order, at most ``limit``."""
+    t = df.orderBy(*order).offset(offset)
+    return t if limit is None else t.limit(limit)
+
+
+def lookup(rows: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of the context of the same keys, null where there is none; of several contexts the smallest."""
+    rest = [c for c in contexts.columns if c not in keys]
+    one = contexts.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest))
+    return rows.join(one, keys, "left")
+
+
+def utc_now() -> Column:
+    """The time of the query as UTC text, the same for all rows."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

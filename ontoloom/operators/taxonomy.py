@@ -154,3 +154,71 @@ def indexed_edges(outputs: DataFrame, cands: DataFrame, left: str = "child_idx",
     side = lambda n, i: cands.select("doc_id", "chunk_id", F.col("idx").alias(i), F.col("term_id").alias(f"{n}_id"), F.col("term").alias(f"{n}_term"))
     j = e.join(side("left", "l"), ["doc_id", "chunk_id", "l"]).join(side("right", "r"), ["doc_id", "chunk_id", "r"]).where("left_id <> right_id")
     return j.select("doc_id", "chunk_id", "left_id", "right_id", "left_term", "right_term").distinct()
+
+
+# --- class terms, free-form links ------------------------------------------------------------------------------------------------
+
+#: Phrases of a justification that tell of another relation than is-a.
+OTHER_RELATIONS = (
+    "consequence of", "result of", "caused by", "due to", "used in", "used by", "stored in", "written in", "written to", "logged to", "example of", "for example", "e.g.", "illustrate", "illustration", "sample of", "part of",
+)
+
+
+def class_terms(labels: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """``term, definition``: the representative labels of domain classes with enough confidence, each once, with the smallest of their definitions.
+
+    ``labels``: term, role, is_domain, confidence, definition. 'host lsf' is represented by 'lsf host'. Null and blank terms count for nothing.
+    """
+    ok = (F.lower(F.trim("role")) == "class") & F.col("is_domain") & (F.col("confidence") >= min_confidence)
+    t = labels.where(ok).select(swap_scheduler(F.col("term")).alias("term"), "definition").where("term <> ''")
+    return t.groupBy("term").agg(F.min("definition").alias("definition"))
+
+
+def weighted_parents(labels: DataFrame, head: Column, min_confidence: float = 0.7) -> DataFrame:
+    """``parent, class_support, def_support, score``: class terms and heads of definitions that can be parents; score = max(class_support, 2 * def_support).
+
+    ``labels`` as in ``class_terms``, one row counting once; ``head``: the head of the column definition.
+    """
+    ok = (F.lower(F.trim("role")) == "class") & F.col("is_domain") & (F.col("confidence") >= min_confidence)
+    t = labels.where(ok).select(swap_scheduler(F.col("term")).alias("t"), swap_scheduler(head).alias("h")).where(F.col("t").isNotNull() & (F.col("t") != "") & ~F.col("t").isin(BAD_PARENTS))
+    both = t.select(F.explode(F.array(F.struct(F.col("t").alias("parent"), F.lit(1).alias("c"), F.lit(0).alias("d")), F.struct(F.col("h").alias("parent"), F.lit(0).alias("c"), F.lit(1).alias("d")))).alias("x"))
+    g = both.where("x.parent <> ''").groupBy("x.parent").agg(F.sum("x.c").alias("class_support"), F.sum("x.d").alias("def_support")).where(~F.col("parent").isin(BAD_PARENTS))
+    return g.withColumn("score", F.greatest(F.col("class_support"), 2 * F.col("def_support")))
+
+
+def lexical_subtype(child: Column, parent: Column) -> Column:
+    """The child's label holds the parent's, and is another."""
+    c, p = F.lower(F.trim(child)), F.lower(F.trim(parent))
+    return F.coalesce((c != "") & (p != "") & (c != p) & F.contains(c, p), F.lit(False))
+
+
+def other_relation(justification: Column) -> Column:
+    """The justification tells of another relation than is-a."""
+    j = F.lower(F.coalesce(justification, F.lit("")))
+    found = F.lit(False)
+    for p in OTHER_RELATIONS:
+        found = found | F.contains(j, F.lit(p))
+    return found
+
+
+def free_links(outputs: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """``<keys>, child, parent``: is-a links in model output (JSON between the first and last brace: is_a_edges of child, parent, justification).
+
+    Self links, links justified by another relation and parents that are no part of the child's label are dropped; of repeated links, case aside, the smallest spelling stays.
+    Output that doesn't parse gives no link.
+    """
+    text = F.regexp_extract(F.col(raw), r"(?s)(\{.*\})", 1)
+    e = outputs.select(*keys, F.explode(F.from_json(text, "struct<is_a_edges:array<struct<child:string,parent:string,justification:string>>>")["is_a_edges"]).alias("e"))
+    e = e.select(*keys, F.trim("e.child").alias("child"), F.trim("e.parent").alias("parent"), "e.justification").where(lexical_subtype(F.col("child"), F.col("parent")) & ~other_relation(F.col("justification")))
+    return e.groupBy(*keys, F.lower("child").alias("c"), F.lower("parent").alias("p")).agg(F.min(F.struct("child", "parent")).alias("x")).select(*keys, "x.child", "x.parent")
+
+
+def with_canonical(listed: DataFrame, names: DataFrame) -> DataFrame:
+    """``listed`` (term, ...) as distinct rows with ``canonical_id`` where ``names`` (surface, canonical_id) knows the term, else null."""
+    t = listed.distinct().withColumn("surface", F.lower(squeeze(F.col("term"))))
+    return t.join(names.select("surface", "canonical_id"), "surface", "left").drop("surface")
+
+
+def lemma_ids(terms: DataFrame) -> DataFrame:
+    """``lemma, term_id``: the id that a lemma stands for (case and blanks aside): the last, that is the largest, of them. ``terms``: term_id, term_lemma."""
+    return terms.select(F.lower(squeeze(F.col("term_lemma"))).alias("lemma"), "term_id").where("lemma <> ''").groupBy("lemma").agg(F.max("term_id").alias("term_id"))

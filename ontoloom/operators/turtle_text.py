@@ -151,3 +151,65 @@ def salvage(texts: DataFrame, prefixes: str, key: str = "id", column: str = "tex
 def drop_counts(salvaged: DataFrame) -> DataFrame:
     """``problem, n`` of the blocks, 'kept' for those without one."""
     return salvaged.groupBy(F.coalesce("problem", F.lit("kept")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+def line_counts(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``rule, n``: how many lines each rule of ``line_rule`` applies to."""
+    return lines.groupBy(line_rule(F.col(column)).alias("rule")).agg(F.count("*").alias("n"))
+
+
+def salvage_lines(text: str, prefixes: str = "", most: int = 50) -> tuple[str, int]:
+    """The block without the lines that keep it from being read, and their number; empty if more than ``most`` would have to go.
+
+    Each time the block can't be read, the last line of the shortest beginning that can't be completed goes: that is found by reading the beginnings closed by a full stop.
+    """
+    from ontoloom.operators.rdf import TurtleError, parse_turtle
+
+    def reads(t: str) -> bool:
+        try:
+            parse_turtle(prefixes + t)
+            return True
+        except TurtleError:
+            return False
+
+    lines, gone = [x for x in text.split("\n") if x.strip()], 0
+    while lines and not reads("\n".join(lines)):
+        if gone == most:
+            return "", gone + len(lines)
+        closed = lambda n: re.sub(r"[\s;,.]*$", " .", "\n".join(lines[:n]))  # noqa: E731, B023
+        bad = next((n for n in range(1, len(lines) + 1) if not reads(closed(n))), None)
+        if bad is None:  # only the end is missing
+            return closed(len(lines)), gone
+        del lines[bad - 1]
+        gone += 1
+    return "\n".join(lines), gone
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("dropped", T.IntegerType())]))
+def salvage_lines_udf(prefixes: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+    rows = [salvage_lines(b, p or "") if b is not None else (None, 0) for p, b in zip(prefixes, blocks, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "dropped"])
+
+
+def repair(fragments: DataFrame, factory, prefixes: str = "", attempts: int = 2, key: str = "id", column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(``<key>, text`` of the fragments that can be read, ``<key>, text, error`` of the quarantined ones).
+
+    A fragment that can't be read is given to the model with what is wrong, up to ``attempts`` times; each answer is cleaned and read again.
+    """
+    from ontoloom.operators.labelling import with_retries
+    from ontoloom.operators.rdf import TurtleError, parse_turtle
+    from ontoloom.session import materialise
+
+    def fault(answer: str | None) -> str | None:
+        try:
+            return None if (answer or "").strip() and parse_turtle(prefixes + answer) else "no triples"
+        except TurtleError as e:
+            return str(e)
+
+    t = fragments.select(F.col(key).alias("id"), F.col(column).alias("text")).withColumn("error", turtle_error_udf(F.concat(F.lit(prefixes), F.coalesce("text", F.lit("")))))
+    t = t.withColumn("error", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "no triples").otherwise(F.col("error")))
+    prompt = F.concat(F.lit("This Turtle can't be read: "), "error", F.lit("\nGive the corrected Turtle only.\n"), F.coalesce("text", F.lit("")))
+    asked = t.where("error is not null").select("id", prompt.alias("prompt"))
+    tried = materialise(with_retries(asked, "prompt", factory, fault, attempts), "repaired")
+    good = t.where("error is null").select("id", "text").unionByName(tried.where("error is null").select("id", F.col("answer").alias("text")))
+    return good.withColumnRenamed("id", key), tried.where("error is not null").select(F.col("id").alias(key), F.col("answer").alias("text"), "error")

@@ -70,8 +70,16 @@ class PromptConfig:
 
     @staticmethod
     def load(path: str) -> PromptConfig:
-        """From a JSON file; raises ValueError where a field is missing or of the wrong kind."""
-        raw = json.loads(Path(path).read_text(encoding="utf-8"))
+        """From a JSON or YAML file (by its ending); raises ValueError where a field is missing or of the wrong kind."""
+        text = Path(path).read_text(encoding="utf-8")
+        if path.lower().endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("YAML files need the package yaml") from e
+            raw = yaml.safe_load(text)
+        else:
+            raw = json.loads(text)
         if not isinstance(raw, dict) or not str(raw.get("system", "")).strip():
             raise ValueError("a prompt file needs a non-empty 'system'")
         examples = raw.get("examples", [])
