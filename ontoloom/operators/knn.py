@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, blocks: int = 8) -> DataFrame:
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, rows_per_block: int = 16_384, least_blocks: int = 4) -> DataFrame:
     """``id, neighbour, similarity, rank``: the ``k`` vectors of largest cosine for each query, itself aside; ties by id.
 
-    Both frames have id and vec. Queries and vectors are cut into blocks; a task multiplies one block of each and keeps k per query, so
+    Both frames have id and vec. Queries and vectors are cut into blocks of about ``rows_per_block`` rows; a task multiplies one block of each and keeps k per query, so
     memory is bounded by the block and what is shuffled on is queries * blocks * k rows. Quadratic by nature: for all against all of large tables
     use an index. A zero vector has similarity 0 to all.
     """
     vec = F.col("vec").cast("array<double>").alias("vec")
-    own, all_ = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = queries.select("id", vec, own.cast("int").alias("qb"), all_.alias("vb"), F.lit(True).alias("asks"))
-    v = vectors.select("id", vec, all_.alias("qb"), own.cast("int").alias("vb"), F.lit(False).alias("asks"))
+    nq, nv = (max(m, -(-t.count() // rows_per_block)) for t, m in ((queries, least_blocks), (vectors, 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", vec, own(nq).alias("qb"), each(nv).alias("vb"), F.lit(True).alias("asks"))
+    v = vectors.select("id", vec, each(nq).alias("qb"), own(nv).alias("vb"), F.lit(False).alias("asks"))
 
     def multiply(t: pd.DataFrame) -> pd.DataFrame:
         a, b = t[t["asks"]], t[~t["asks"]]

@@ -47,7 +47,57 @@ def rule_labeller() -> Labeller:
         for p in prompts:
             term = (re.findall(r'"([^"]*)"', p) or [""])[-1]
             tech = bool(re.search(r"[_.]|\d", term))
-            out.append(json.dumps({"term": term, "ontology_role": "instance" if tech else "class", "confidence": 0.9 if term else 0.0, "is_hpc_domain_term": bool(term)}))
+            out.append(json.dumps({"term": term, "ontology_role": "instance" if tech else "class", "confidence": 0.9 if term else 0.0, "is_hpc_domain_term": bool(term), "decision": "accept" if term else "reject"}))
+        return out
+
+    return answer
+
+
+def rule_lister() -> Labeller:
+    """A stand-in that lists the pairs of neighbouring longer words, and words with signs, of the prompt's last input."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            text = p.rpartition("Input:")[2].partition("\nOutput:")[0]
+            found = re.findall(r"[A-Za-z]+[_.][\w.]*\w|[a-z]{4,} [a-z]{4,}", text)
+            out.append(json.dumps({"terms": list(dict.fromkeys(found))[:25]}))
+        return out
+
+    return answer
+
+
+def _numbered(prompt: str) -> list[tuple[int, str]]:
+    return [(int(n), t.strip().lower()) for n, t in re.findall(r"(?m)^(\d+): (.+)$", prompt)]
+
+
+def rule_linker() -> Labeller:
+    """A stand-in that links numbered terms to those which they end with."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        return [json.dumps({"is_a_edges": [{"child_idx": i, "parent_idx": j} for i, a in t for j, b in t if a.endswith(b.rpartition(" ")[2]) and i != j and len(a) > len(b)]}) for t in map(_numbered, prompts)]
+
+    return answer
+
+
+def rule_relater() -> Labeller:
+    """A stand-in that says of neighbouring numbered terms that they are used with each other."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        return [json.dumps({"relations": [{"subject_idx": a[0], "predicate": "used_with", "object_idx": b[0], "relation_type": "usage"} for a, b in zip(t, t[1:])]}) for t in map(_numbered, prompts)]
+
+    return answer
+
+
+def rule_writer() -> Labeller:
+    """A stand-in that declares a class for each longer word pair of the text and puts the pairs under their last word."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            pairs = list(dict.fromkeys(re.findall(r"\b([a-z]{4,}) ([a-z]{4,})\b", p.partition("\n")[2])))[:10]
+            lines = [f"hpc:{a}_{b} a owl:Class ;\n  rdfs:subClassOf hpc:{b} ." for a, b in pairs]
+            out.append("```turtle\n" + "\n\n".join(lines) + "\n```")
         return out
 
     return answer

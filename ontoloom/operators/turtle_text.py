@@ -176,7 +176,7 @@ def salvage_lines(text: str, prefixes: str = "", most: int = 50) -> tuple[str, i
     while lines and not reads("\n".join(lines)):
         if gone == most:
             return "", gone + len(lines)
-        closed = lambda n: re.sub(r"[\s;,.]*$", " .", "\n".join(lines[:n]))  # noqa: E731, B023
+        closed = lambda n: re.sub(r"[\s;,.]*$", " .", "\n".join(lines[:n]), count=1)  # noqa: E731, B023
         bad = next((n for n in range(1, len(lines) + 1) if not reads(closed(n))), None)
         if bad is None:  # only the end is missing
             return closed(len(lines)), gone

@@ -145,17 +145,40 @@ def model_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline_terms(spark: SparkSession, d: str) -> DataFrame:
     plan = pipeline.between(pipeline.build(), "ingest", "terms")
-    c, log = pipeline.run_plan(plan, {"documents": table(spark, d, "documents")})
+    c, log = pipeline.run_plan(plan, {"documents": table(spark, d, "documents")}, store=True)
     if any(s != "done" for _, s, _ in log):
         raise RuntimeError(str(log))
     return c["term_candidates"].select("term_lemma", "freq_total", "freq_docs", F.round("tf_idf", 6).alias("tf_idf"))
 
 
+def _branch(spark: SparkSession, d: str, branch: str) -> pipeline.Catalog:
+    c, log = pipeline.run_plan(pipeline.build(branch), {"documents": table(spark, d, "documents")}, store=True)
+    if any(s != "done" for _, s, _ in log):
+        raise RuntimeError(str(log))
+    return c
+
+
+def _by_predicate(c: pipeline.Catalog) -> DataFrame:
+    return c["rdf"].groupBy(rdf.short_name(F.col("p")).alias("predicate"), "o_kind").agg(F.count("*").alias("n"))
+
+
+def pipeline_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return _by_predicate(_branch(spark, d, "hybrid"))
+
+
+def pipeline_llm(spark: SparkSession, d: str) -> DataFrame:
+    return _by_predicate(_branch(spark, d, "llm"))
+
+
+def pipeline_direct(spark: SparkSession, d: str) -> DataFrame:
+    return _by_predicate(_branch(spark, d, "direct"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         rdf_triples, ntriples_export, reified_edges, rdf_coverage, predicate_freq, dup_count, rdf_schema, rdf_usage, rdf_extract, iri_short, quality_report, manual_precision, sample_rows, turtle_blocks, turtle_lines,
-        dangling_semicolon, turtle_salvage, turtle_roundtrip, fragment_names, model_labels, pipeline_terms,
+        dangling_semicolon, turtle_salvage, turtle_roundtrip, fragment_names, model_labels, pipeline_terms, pipeline_hybrid, pipeline_llm, pipeline_direct,
     )
 }
 
