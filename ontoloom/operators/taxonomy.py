@@ -105,9 +105,10 @@ def edge_evidence(edges: DataFrame, sentences: DataFrame, k: int = 2) -> DataFra
     freq = tok.groupBy("w").agg(F.count("*").alias("n"))
     pick = e.select("child", "parent", F.explode(F.array_distinct("cw")).alias("w")).join(freq, "w", "left").groupBy("child", "parent").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
     hit = pick.join(tok, "w").join(s, ["doc_id", "sent_idx"]).where(F.contains(F.col("s"), F.lower("child"))).withColumn("both", F.contains(F.col("s"), F.lower("parent")))
+    # sentences with both labels first: k of each link are picked before the shuffle, those with the child alone go where there are others
     w = W.partitionBy("child", "parent")
-    hit = hit.withColumn("any", F.max("both").over(w)).where(F.col("both") | ~F.col("any"))
-    return hit.withColumn("rank", F.row_number().over(w.orderBy("doc_id", "sent_idx"))).where(F.col("rank") <= k).select("child", "parent", "rank", "doc_id", "sent_idx", "both")
+    hit = hit.withColumn("rank", F.row_number().over(w.orderBy(F.desc("both"), "doc_id", "sent_idx"))).where(F.col("rank") <= k)
+    return hit.withColumn("any", F.max("both").over(w)).where(F.col("both") | ~F.col("any")).select("child", "parent", "rank", "doc_id", "sent_idx", "both")
 
 
 def top_parents(edges: DataFrame, n: int = 10) -> DataFrame:

@@ -130,8 +130,9 @@ def taxonomy_like_filter(spark: SparkSession, d: str) -> DataFrame:
 def extraction_cascade(spark: SparkSession, d: str) -> DataFrame:
     s = _svo(spark, d)
     names = s.select(F.col("subj").alias("surface")).union(s.select("obj")).distinct().where(F.length("surface") % 3 != 0).select("surface", F.abs(F.length("surface")).cast("long").alias("canonical_id"))
-    none = spark.createDataFrame([], "node string, ancestor string, hops int").union(spark.createDataFrame([("12", "16", 1)], "node string, ancestor string, hops int"))
-    return r.cascade(s, names, none)
+    # each canonical id lies under that of the surface's last word
+    links = names.select(F.col("canonical_id").cast("string").alias("child"), F.length(last(F.split("surface", " "))).cast("string").alias("parent"))
+    return r.cascade(s, names, g.closure(links))
 
 
 def accept_reject(spark: SparkSession, d: str) -> DataFrame:
@@ -319,10 +320,12 @@ ORACLE = {
  tc as (select child node, parent ancestor, 1 h from te union select tc.node, te.parent, h + 1 from tc join te on te.child = tc.ancestor where h < 4), tm as (select node, ancestor, min(h) h from tc group by 1, 2),
  tr as (select distinct subj s, case when length(subj) % 2 = 0 then 'include' else 'hold' end rel, case when length(obj) % 2 = 0 then string_split(subj, ' ')[-1] else obj end o from sv)
  select s, o, rel, case when s = o then 'self' when a.h = 1 then 'direct' when a.h is not null and rel = 'include' then 'ancestor' else 'none' end as "like" from tr left join tm a on a.node = s and a.ancestor = o""",
-    "extraction_cascade": f"""with {_SVO}, nm as (select surface, length(surface)::bigint id from (select subj surface from sv union select obj from sv) where length(surface) % 3 <> 0),
+    "extraction_cascade": f"""with recursive {_SVO}, nm as (select surface, length(surface)::bigint id from (select subj surface from sv union select obj from sv) where length(surface) % 3 <> 0),
+ le as materialized (select distinct id child, length(string_split(surface, ' ')[-1])::bigint parent from nm), {_CLOSE('le')},
  x as (select sv.*, not ({_GEN("subj")}) and not ({_GEN("obj")}) and {_VALID("verb")} a, coalesce(s1.id, s2.id) sid, coalesce(o1.id, o2.id) oid, case when prep <> '' then {_RK("verb")} || '_' || {_RK("prep")} else {_RK("verb")} end rel from sv
   left join nm s1 on s1.surface = subj left join nm s2 on s2.surface = regexp_replace(subj, '^{wl.either(wl.DETERMINERS)} ', '') left join nm o1 on o1.surface = obj left join nm o2 on o2.surface = regexp_replace(obj, '^{wl.either(wl.DETERMINERS)} ', '')),
- y as (select *, a and sid is not null and oid is not null b, a and sid <> oid c, coalesce(sid = oid or (sid = 12 and oid = 16) or (oid = 12 and sid = 16 and rel in {_in(r.ISA_KEYS)}), false) lk from x)
+ y as (select *, a and sid is not null and oid is not null b, a and sid <> oid c, coalesce(sid = oid or u.hops = 1 or (u.hops > 1 and rel in {_in([*r.ISA_KEYS, *r.TAXONOMY_KEYS])}) or (w.hops > 0 and rel in {_in(r.ISA_KEYS)}), false) lk
+  from x left join cl u on u.node = sid and u.ancestor = oid left join cl w on w.node = oid and w.ancestor = sid)
  select unnest(['extracted', 'specific', 'canonical', 'not_self', 'not_taxonomy', 'distinct']) step, unnest([count(*), count(*) filter (a), count(*) filter (b), count(*) filter (b and c), count(*) filter (b and c and not lk),
  count(distinct case when b and c and not lk then (doc_id, sent_idx, sid, rel, oid) end)]) n from y""",
     "accept_reject": """with v as (select event_id edge_id, event_id % 3 = 0 a, round(value, 2) c, event_id % 4 <> 0 has from events), w as (select edge_id, a and has a, round(case when has then least(1.0, greatest(0.0, case when c > 1 and c <= 10 then c / 10 else c end)) else 0.0 end, 4) confidence from v)

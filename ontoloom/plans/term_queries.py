@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions import word_lists as wl
 from ontoloom.functions.text import BLANKS
 from ontoloom.operators import terms as t
+from ontoloom.session import materialise
 from ontoloom.sources.tables import table
 
 
@@ -32,7 +33,7 @@ def term_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    c = t.candidates(_tokens(spark, d))
+    c = materialise(t.candidates(_tokens(spark, d)), "candidates")  # read twice
     return t.tf_idf(t.aggregate(c), c).select("lemma", "n_tokens", "term_text", "freq_total", "freq_docs", F.round("idf", 6).alias("idf"), F.round("tf_idf", 6).alias("tf_idf"))
 
 
