@@ -54,11 +54,43 @@ def node_text(c: Column) -> Column:
 
 def n_triples(triples: DataFrame) -> DataFrame:
     """``line``: one N-Triples line per triple."""
+    obj = F.when(F.col("o_kind") == "literal", literal_text()).otherwise(node_text(F.col("o")))
+    return triples.select(F.concat_ws(" ", node_text(F.col("s")), node_text(F.col("p")), obj, F.lit(".")).alias("line"))
+
+
+def literal_text() -> Column:
+    """The literal of a triple, escaped, with its datatype or language."""
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
     esc = F.regexp_replace(esc, "\r", r"\\r")
     tag = F.col("o_datatype")
-    lit = F.concat(F.lit('"'), esc, F.lit('"'), F.when(tag.startswith("@"), tag).when(tag != "", F.concat(F.lit("^^<"), tag, F.lit(">"))).otherwise(""))
-    return triples.select(F.concat_ws(" ", node_text(F.col("s")), node_text(F.col("p")), F.when(F.col("o_kind") == "literal", lit).otherwise(node_text(F.col("o"))), F.lit(".")).alias("line"))
+    return F.concat(F.lit('"'), esc, F.lit('"'), F.when(tag.startswith("@"), tag).when(tag != "", F.concat(F.lit("^^<"), tag, F.lit(">"))).otherwise(""))
+
+
+_LOCAL = r"^[A-Za-z_][A-Za-z0-9_-]*$"
+
+
+def turtle(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``line``: one Turtle statement per triple, names abbreviated by the prefixes, 'a' for types; the header is ``turtle_header``."""
+    m = {p: ns for p, ns in sorted(prefixes.items(), key=lambda x: -len(x[1]))}
+
+    def name(c: Column) -> Column:
+        out = F.when(c.startswith("_:"), c)
+        for p, ns in m.items():
+            local = F.substr(c, F.lit(len(ns) + 1))
+            out = out.when(c.startswith(ns) & local.rlike(_LOCAL), F.concat(F.lit(f"{p}:"), local))
+        return out.otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
+    full = literal_text()
+    tag = F.col("o_datatype")
+    quoted = F.regexp_extract(full, r'(?s)^("(?:[^"\\]|\\.)*")', 1)
+    lit = F.when(tag.startswith("@") | (tag == ""), full).when(tag == XSD + "string", quoted).otherwise(F.concat(quoted, F.lit("^^"), name(tag)))
+    obj = F.when(F.col("o_kind") == "literal", lit).otherwise(name(F.col("o")))
+    pred = F.when(F.col("p") == TYPE, "a").otherwise(name(F.col("p")))
+    return triples.select(F.concat_ws(" ", name(F.col("s")), pred, obj, F.lit(".")).alias("line"))
+
+
+def turtle_header(prefixes: dict[str, str]) -> str:
+    return "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in prefixes.items())
 
 
 def reified_edges(edges: DataFrame, base: str) -> DataFrame:

@@ -48,15 +48,17 @@ def orphan_references(references: list[Reference], targets: list[Target]) -> Dat
     """One row for each distinct missing key of a (table, column, period): ``ref_table, ref_column, period, ref_id,
     n_refs, reason`` with reason 'missing' or 'later'.
 
-    Null keys are no references; null keys of a target name nothing. A key whose target row was created after the
+    Keys are compared as numbers where all named key columns are of integer types, else as text. Null keys are no references; null keys of a target name nothing. A key whose target row was created after the
     first referring row of the period is 'later' (only where both times are given and not null). Repeated rows of a
     target are one key, created at its earliest time. Empty tables give no rows. Clashing names of extra columns don't matter,
     only the named columns are read.
     """
     none = F.lit(None).cast("timestamp")
+    kinds = {df.schema[c].dataType.simpleString() for df, c in [*((r.df, r.column) for r in references), *((t.df, t.key) for t in targets)]}
+    kind = "long" if kinds <= {"tinyint", "smallint", "int", "bigint"} else "string"
     parts = []
     for r in references:
-        key = F.col(r.column).cast("long")
+        key = F.col(r.column).cast(kind)
         parts.append(
             r.df.select(
                 F.lit(r.target).alias("target"), key.alias("id"), F.lit(r.table).alias("ref_table"), F.lit(r.column).alias("ref_column"),
@@ -69,7 +71,7 @@ def orphan_references(references: list[Reference], targets: list[Target]) -> Dat
         )
     for t in targets:
         parts.append(
-            t.df.select(F.lit(t.table).alias("target"), F.col(t.key).cast("long").alias("id"), (none if t.at is None else t.at.cast("timestamp")).alias("at"))
+            t.df.select(F.lit(t.table).alias("target"), F.col(t.key).cast(kind).alias("id"), (none if t.at is None else t.at.cast("timestamp")).alias("at"))
             .where("id is not null")
             .groupBy("target", "id")
             .agg(F.min("at").alias("at"))

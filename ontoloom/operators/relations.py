@@ -41,9 +41,12 @@ def generic_span(c: Column) -> Column:
 
 
 def surfaces(c: Column) -> Column:
-    """The surface forms in a JSON array of strings, or in a list separated by semicolons or commas."""
+    """The surface forms in a JSON array of strings, in the values (texts or arrays of them) of a JSON object, or in a list separated by semicolons, else commas."""
     s = F.trim(c)
-    listed = F.when(s.startswith("["), F.from_json(s, "array<string>")).otherwise(F.split(s, "[;,]"))
+    whole = F.from_json(s, "array<string>")
+    values = F.map_values(F.from_json(s, "map<string,string>"))
+    inner = F.flatten(F.transform(values, lambda v: F.when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))))
+    listed = F.when(s.startswith("["), whole).when(s.startswith("{"), inner).when(s.contains(";"), F.split(s, ";")).otherwise(F.split(s, ","))
     return F.filter(F.transform(listed, lambda x: F.lower(squeeze(x))), lambda x: x != "")
 
 

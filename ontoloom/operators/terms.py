@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ontoloom.functions import word_lists as wl
-from ontoloom.functions.text import last, squeeze
+from ontoloom.functions.text import last, nfkc, squeeze
 
 #: A token: command line flag, word with inner joints, or a single sign.
 TOKEN = r"--?[A-Za-z][A-Za-z0-9_-]*(?:[=:][^\s]+)?|[\p{L}\p{N}_]+(?:[.'’|/-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
@@ -27,9 +27,11 @@ def tag(token: Column, first: Column) -> Column:
     )
 
 
-def tokens(sentences: DataFrame) -> DataFrame:
-    """``doc_id, sent_idx, pos, token, lemma, tag`` of each sentence (each doc_id and sent_idx once)."""
+def tokens(sentences: DataFrame, normal_form: bool = False) -> DataFrame:
+    """``doc_id, sent_idx, pos, token, lemma, tag`` of each sentence (each doc_id and sent_idx once); on demand in Unicode normal form NFKC."""
     s = sentences.groupBy("doc_id", "sent_idx").agg(F.min("sentence").alias("sentence"))
+    if normal_form:
+        s = s.withColumn("sentence", nfkc("sentence"))
     t = s.select("doc_id", "sent_idx", F.posexplode(F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     # The one-row generator computes the tag once; a filter on it would else be pushed below and compute it again.
     t = t.select("doc_id", "sent_idx", "pos", "token", F.inline(F.array(F.struct(tag(F.col("token"), F.col("pos") == 0).alias("tag")))))

@@ -169,6 +169,10 @@ def node_roles(spark: SparkSession, d: str) -> DataFrame:
     return rdf.node_roles(_graph(spark, d))
 
 
+def turtle_export(spark: SparkSession, d: str) -> DataFrame:
+    return rdf.turtle(_graph(spark, d).distinct(), {"owl": rdf.OWL, "rdfs": rdf.RDFS, "xsd": rdf.XSD, "o": _BASE})
+
+
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
     return rdf.markdown(rdf.structure(_graph(spark, d)))
 
@@ -206,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_terms, weighted_parents, free_links, context_terms, lemma_ids, indexed_relations, term_types, load_triples, resolved_parents, known_assertions, finish_proposals, pending_page, chunk_lookup,
-        rdf_taxonomy, rdf_relations, node_roles, report_markdown, term_selection, k_evaluation, stopword_li, turtle_line_counts, table_columns,
+        rdf_taxonomy, rdf_relations, node_roles, turtle_export, report_markdown, term_selection, k_evaluation, stopword_li, turtle_line_counts, table_columns,
     )
 }
 
@@ -272,6 +276,9 @@ ORACLE = {
     "rdf_relations": f"with {_GRAPH} select distinct replace(s, '{_BASE}', '') subject, 'livesIn' relation, replace(o, '{_BASE}', '') as object from gr where p = '{_BASE}livesIn' and not starts_with(s, '_:')",
     "node_roles": f"""with {_GRAPH}, k as (select s i, p = '{rdf.TYPE}' or p = '{rdf.SUBCLASS}' c from gr union all select o, true from gr where p = '{rdf.SUBCLASS}')
  select i iri, bool_or(c) class_like, false property_like from k where not starts_with(i, '_:') group by 1""",
+    "turtle_export": f"""with {_GRAPH}, g as (select distinct * from gr), n as (select *, case when starts_with(s, '_:') then s when starts_with(s, '{_BASE}') then 'o:' || replace(s, '{_BASE}', '') else '<' || s || '>' end sn from g)
+ select sn || ' ' || case p when '{rdf.TYPE}' then 'a' when '{rdf.SUBCLASS}' then 'rdfs:subClassOf' when '{rdf.LABEL}' then 'rdfs:label' else 'o:' || replace(p, '{_BASE}', '') end || ' '
+ || case when k = 'literal' then '"' || o || '"' when starts_with(o, '{rdf.OWL}') then 'owl:' || replace(o, '{rdf.OWL}', '') else 'o:' || replace(o, '{_BASE}', '') end || ' .' as line from n""",
     "report_markdown": f"""with {_STRUCTURE}, l as (select '' s, 0 k, '' m, '# Ontology quality' as line union all select distinct section, 0, '', '## ' || section from st union all select section, 1, metric, '- ' || metric || ': **' || v || '**' from st)
  select row_number() over (order by s, k, m) line_no, line from l""",
     "term_selection": "select distinct term_id, term_text from term_candidates where tf_idf >= 10 and term_text is not null",

@@ -89,6 +89,9 @@ def test_references(spark):
         [r.Reference(refs, "refs", "id", "keys", r.month_of(F.to_timestamp("at")), F.to_timestamp("at"))], [r.Target(keys, "keys", "id", F.to_timestamp("made"))]
     ).collect()
     assert {(x.ref_id, x.period, x.reason, x.n_refs) for x in got} == {(2, "none", "missing", 1), (3, "2023-02", "later", 1), (9, "2023-02", "missing", 1)}
+    text = spark.createDataFrame([("a",), ("b",), ("3",), (None,)], "id string")
+    got = r.orphan_references([r.Reference(text, "refs", "id", "keys", F.lit("x")), r.Reference(refs, "nums", "id", "keys", F.lit("x"))], [r.Target(spark.createDataFrame([("a",), ("3",)], "id string"), "keys", "id")])
+    assert {(x.ref_table, x.ref_id) for x in got.collect()} == {("refs", "b"), ("nums", "1"), ("nums", "2"), ("nums", "9")}
     none = r.orphan_references([r.Reference(refs.limit(0), "refs", "id", "keys", F.lit("x"))], [r.Target(keys.limit(0), "keys", "id")])
     assert none.count() == 0
     assert r.orphan_references([r.Reference(refs, "refs", "id", "keys", F.lit("x"))], [r.Target(keys.limit(0), "keys", "id")]).count() == 4

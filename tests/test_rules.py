@@ -205,3 +205,23 @@ def test_json_objects_and_model_keys():
 
 def test_predicates_are_renamed():
     assert turtle_text.canonical_names("hpc:x hpc:runs_on hpc:y .\nhpc:runs_on a owl:ObjectProperty .") == "hpc:X hpc:runsOn hpc:y .\nhpc:runsOn a owl:ObjectProperty ."
+
+
+def test_turtle_comes_back(spark):
+    rows = [("http://e/a", "http://e/p", 'x "q" \\ \n\r é', "literal", rdf.XSD + "string"), ("http://e/a", rdf.TYPE, "http://e/b c#1", "iri", ""), ("_:n1", "http://e/p", "5", "literal", rdf.XSD + "integer"),
+            ("http://e/a", "http://e/9", "hola", "literal", "@es"), ("http://e/a", "http://e/p", "_:n1", "bnode", ""), ("http://e/a-b_1", "http://f/p", "12.50", "literal", "http://f/money")]
+    t = spark.createDataFrame([r for r in rows if " " not in r[2] or r[3] == "literal"], rdf.COLUMNS)
+    names = {"e": "http://e/", "xsd": rdf.XSD}
+    lines = [x.line for x in rdf.turtle(t, names).collect()]
+    assert sorted(rdf.parse_turtle(rdf.turtle_header(names) + "\n".join(lines))) == sorted(tuple(x) for x in t.collect()) and any(x.startswith("e:a-b_1 <http://f/p> \"12.50\"^^<http://f/money>") for x in lines)
+
+
+def test_surfaces_of_objects(spark):
+    df = spark.createDataFrame([('["A b", "c"]',), ('{"x": "One", "y": ["Two ", "three"], "z": 4}',), ("p, q; r",), ("p, q",), (None,), ("[bad",)], "v string")
+    got = [x.s for x in df.select(relations.surfaces(F.col("v")).alias("s")).collect()]
+    assert got == [["a b", "c"], ["one", "two", "three", "4"], ["p, q", "r"], ["p", "q"], None, None]
+
+
+def test_tokens_in_normal_form(spark):
+    df = spark.createDataFrame([(1, 1, "ﬁle Ａ１")], "doc_id long, sent_idx int, sentence string")
+    assert [x.token for x in terms.tokens(df, normal_form=True).orderBy("pos").collect()] == ["file", "A1"]
