@@ -103,3 +103,33 @@ def test_hot_group(spark):
     df = spark.range(6000).selectExpr("id", "case when id % 3 = 0 then concat('Same', repeat(' ', int(id % 5) + 1), 'TERM') else concat('t', id) end term")
     got = fd.unique(df, "id", ["term"])
     assert got.where("n_copies = 2000 and keep_id = 0").count() == 1 and got.count() == 4001
+
+
+def slow_posterior(hist, k, rounds=40):
+    """The posterior of one term by plain loops; ``hist``: occurrences -> records."""
+    n, total = sum(hist.values()), sum(c * w for c, w in hist.items())
+    present = sum(w for c, w in hist.items() if c)
+    share, elite, other = min(0.5, max(1e-9, present / n * 0.5)), total / present * 1.5, max(total / n * 0.5, 1e-9)
+    post = lambda c: 1 / (1 + (1 - share) / share * math.exp(min(700, max(-700, c * math.log(other / elite) + elite - other))))
+    for _ in range(rounds):
+        e = {c: w * post(c) for c, w in hist.items()}
+        se, so = sum(e.values()), n - sum(e.values())
+        share, elite, other = min(1 - 1e-12, max(se / n, 1e-12)), max(sum(c * x for c, x in e.items()) / max(se, 1e-12), 1e-9), max(sum(c * (hist[c] - x) for c, x in e.items()) / max(so, 1e-12), 1e-12)
+    if other > elite:
+        share, elite, other = 1 - share, other, elite
+    return post(k)
+
+
+def test_posterior_against_plain_loops(spark):
+    cand, occ = make(spark, 8)
+    _, tf, _, docs, n = brute(cand, occ)
+    rows = fq.distinctiveness(spark.createDataFrame(occ, OCC), spark.createDataFrame(cand, CAND)).collect()
+    hist = defaultdict(lambda: defaultdict(int))
+    for (lem, _), k in tf.items():
+        hist[lem][k] += 1
+    for lem, h in hist.items():
+        if (left := n - len(docs[lem])) > 0:
+            h[0] += left
+    assert len(rows) == len(tf)
+    for r in rows:
+        assert abs(r.elite_p - slow_posterior(dict(hist[r.term_lemma]), r.n)) < 1e-6, (r, dict(hist[r.term_lemma]))
