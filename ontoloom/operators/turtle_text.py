@@ -148,6 +148,16 @@ def salvage(texts: DataFrame, prefixes: str, key: str = "id", column: str = "tex
     return b.withColumn("problem", F.coalesce(block_problem(F.col("block")), turtle_error_udf(F.concat(F.lit(prefixes), F.col("block")))))
 
 
+def mend(salvaged: DataFrame, prefixes: str) -> DataFrame:
+    """``salvaged`` with ``block`` and ``problem`` mended: of blocks without a rule against them that can't be read, the faulty lines go (``dropped_lines``)."""
+    rule = block_problem(F.col("block"))
+    m = F.when(rule.isNull() & F.col("problem").isNotNull(), salvage_lines_udf(F.lit(prefixes), F.col("block")))
+    t = salvaged.withColumn("m", m)
+    fixed = F.coalesce(F.col("m.text") != "", F.lit(False))
+    block, problem = F.when(fixed, F.col("m.text")).otherwise(F.col("block")), F.when(fixed, None).otherwise(F.col("problem"))
+    return t.withColumn("dropped_lines", F.when(fixed, F.col("m.dropped")).otherwise(0)).withColumn("problem", problem).withColumn("block", block).drop("m")
+
+
 def drop_counts(salvaged: DataFrame) -> DataFrame:
     """``problem, n`` of the blocks, 'kept' for those without one."""
     return salvaged.groupBy(F.coalesce("problem", F.lit("kept")).alias("problem")).agg(F.count("*").alias("n"))

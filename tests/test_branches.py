@@ -74,6 +74,14 @@ def test_salvaged_lines(spark):
     assert [x.r.dropped for x in df.select(turtle_text.salvage_lines_udf("p", "b").alias("r")).collect()] == [1, 0]
 
 
+def test_mended_blocks(spark):
+    text = "hpc:A a owl:Class .\n\nhpc:B a owl:Class ;\n  rdfs:label \"b ;\n  rdfs:subClassOf hpc:A .\n\nhpc:C a [ ."
+    s = turtle_text.salvage(spark.createDataFrame([("1", text), ("2", None)], "id string, text string"), pipeline.PREFIXES)
+    got = {x.block_no: x for x in turtle_text.mend(s, pipeline.PREFIXES).collect()}
+    assert [got[i].dropped_lines for i in (0, 1, 2)] == [0, 1, 0] and got[0].problem is None and got[1].problem is None and got[2].problem == "brackets"
+    assert len(rdf.parse_turtle(pipeline.PREFIXES + got[1].block)) == 2
+
+
 def test_choose():
     assert pipeline.choose("LLM, hybrid,llm") == ["llm", "hybrid"] and pipeline.choose("all") == ["hybrid", "llm", "direct"] and pipeline.choose("") == []
     with pytest.raises(ValueError, match="no branch: x"):
